@@ -36,6 +36,12 @@ def op3_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mergecount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binfold.llm import pii
+
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binfold.llm import jpeg
 
@@ -48,6 +54,12 @@ def op9_differencing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binfold.llm import neardup
+
+    return neardup.components(table(spark, sf_dir, "documents"), k=3, numerator=85, denominator=100)
+
+
 def queries() -> dict[str, Query]:
     """The registered queries by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
