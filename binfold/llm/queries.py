@@ -36,6 +36,20 @@ def op3_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mergecount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binfold.llm import resample
+
+    docs = table(spark, sf_dir, "documents")
+    return resample.resample(docs, resample.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binfold.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("passages")
+
+
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binfold.llm import pii
 
