@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker looks at together.
 BLOCK_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and a worker.
+ARROW_BYTES = "8m"
 
 _own_scratch: dict[str, str] = {}
 
@@ -52,6 +54,17 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes: an executor holds a few for each of its cores, outside its heap.
+
+    A session that sets spark.sql.execution.arrow.maxBytesPerBatch below 64 MB keeps its own.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":
+        conf.set(name, ARROW_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that `column` holds about `limit` bytes; one longer value is a block of its own."""
     for batch in batches:
@@ -83,7 +96,7 @@ def map_blocks(df: DataFrame, column: str, work: Callable[[], Callable[[pa.Recor
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

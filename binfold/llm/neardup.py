@@ -156,7 +156,7 @@ def _buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "bucket long, node long")
+    return common.arrow_map(nodes.select("node", "signature"), run, "bucket long, node long")
 
 
 def _sequential(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float, permutations: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _sequential(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: floa
 
     s = nodes.select("node", "signature")
     both = pairs.join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return common.arrow_map(both, run, "a long, b long")
 
 
 def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
@@ -208,9 +208,9 @@ def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numerato
     wanted = wanted.join(nodes.select("node", "digest", "doc_id"), "node")
     text = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "node", "digest")
     # an identifier may repeat with the same text
-    sets = common.written(text.mapInArrow(full, "node long, shingles binary"), "neardup-sets").dropDuplicates(["node"])
+    sets = common.written(common.arrow_map(text, full, "node long, shingles binary"), "neardup-sets").dropDuplicates(["node"])
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(confirm, "a long, b long")
+    return common.arrow_map(both, confirm, "a long, b long")
 
 
 def connected(links: DataFrame, name: str = "components") -> DataFrame:

@@ -228,7 +228,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("n_bytes", pa.int64())]))
 
-    made = common.written(dealt.mapInArrow(write, MANIFEST), "sst-manifest")
+    made = common.written(common.arrow_map(dealt, write, MANIFEST), "sst-manifest")
     return made.withColumn("path", F.concat(F.lit(folder + "/"), "path"))
 
 
@@ -268,7 +268,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return each.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.arrow_map(each, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
