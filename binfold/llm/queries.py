@@ -36,6 +36,17 @@ def op3_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mergecount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binfold.llm import mtree
+    from binfold.llm.common import written
+
+    rows = written(mtree.vectors(table(spark, sf_dir, "embeddings")), "mtree-vectors")
+    index = mtree.build_index(rows)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return mtree.search(index, rows.where("vec_id % 50 = 0"))
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binfold.llm import resample
 
