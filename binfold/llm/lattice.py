@@ -27,10 +27,12 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,8 @@ class Lattices:
             raise ValueError("the vocabulary's pieces span blanks")
         self.pieces = pieces
         self.longest = max(map(len, pieces))
+        #: Where no piece has a stop behind a small letter, words end before it: fewer distinct ones.
+        self.stops = not any(re.search("[a-z][,.!]", p) for p in pieces)
         ranked = sorted(ordinary, key=lambda i: (-library.get_score(i), i))
         self.bytes_id = {int(library.id_to_piece(i)[3:5], 16): i for i in range(library.get_piece_size()) if library.is_byte(i)}
         law = [1 / (r + shift) for r in range(len(ranked) + 1)]
@@ -262,14 +266,44 @@ class _Search:
             heapq.heappush(self.agenda, (after - math.log(self.draw()) / mass, len(self.agenda) + 1000 * len(self.paths), region))
 
 
+def pretokens(own: Lattices, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each text's words from right to left, and how many each text has."""
+    column = pc.replace_substring(pa.array(texts, pa.string()), SPACE, " ")
+    odd = pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, "\1")).to_numpy(zero_copy_only=False)
+    odd |= np.array([x[:1] == " " for x in texts], bool)
+    # most texts have single blanks: marks before blanks and around line feeds give their words
+    plain = pc.if_else(pa.array(odd), "", column)
+    plain = pc.if_else(pc.equal(plain, ""), "", pc.binary_join_element_wise(pa.scalar(""), plain, " "))
+    if own.stops:
+        plain = pc.replace_substring_regex(plain, "([a-z])([,.!])", "\\1\1\\2")
+    lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\1 "), "\n", "\1\n\1"), "\1")
+    words = lists.flatten().dictionary_encode()
+    names, index = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    slow = {int(d): _PRETOKEN.findall(" " + texts[d].replace(SPACE, " ")) for d in np.flatnonzero(odd)}
+    more = list({w for x in slow.values() for w in x})
+    number = own.learn([w for w in names if w] + more)
+    of = np.full(len(names), -1, np.int64)
+    of[[i for i, w in enumerate(names) if w]] = number[: len(number) - len(more)]
+    known = dict(zip(more, number[len(number) - len(more) :].tolist()))
+    flat = of[index] if len(index) else np.zeros(0, np.int64)
+    edges = lists.offsets.to_numpy(zero_copy_only=False) - lists.offsets[0].as_py()
+    sizes = np.diff(np.concatenate([[0], np.cumsum(flat >= 0)])[edges])
+    flat = flat[flat >= 0]
+    if slow:
+        at = np.cumsum(sizes)
+        parts, last = [], 0
+        for d, x in slow.items():
+            parts += [flat[last : at[d]], np.array([known[w] for w in x], np.int64)]
+            last, sizes[d] = at[d], len(x)
+        flat = np.concatenate([*parts, flat[last:]])
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(ends - 1, sizes) - (np.arange(len(flat)) - np.repeat(ends - sizes, sizes))], sizes
+
+
 def sample(own: Lattices, keys: list[int], texts: list[str], k: int) -> list[list[dict]]:
     """For each text up to k samples: edges from right to left, log_prob, score, log_inclusion."""
-    split = [_PRETOKEN.findall(" " + x.replace(SPACE, " "))[::-1] if x else [] for x in texts]
-    distinct = list({w for words in split for w in words})
-    number = dict(zip(distinct, own.learn(distinct).tolist()))
-    sizes = np.array([len(w) for w in split], np.int64)
+    flat, sizes = pretokens(own, texts)
     begin = np.cumsum(sizes) - sizes
-    flat = np.fromiter((number[w] for words in split for w in words), np.int64, int(sizes.sum()))
     base, end = own.base[flat], own.base[flat] + own.size[flat]
     place = np.arange(len(flat)) - np.repeat(begin, sizes)
     seeds = mix(np.array([x & (1 << 64) - 1 for x in keys], np.uint64) + _U(1))
@@ -386,7 +420,7 @@ def encode(docs: DataFrame, model: str, k: int = 3, theta: float = THETA, id_col
 
         return step
 
-    return common.map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", work, schema, 1 << 20)
+    return common.map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", work, schema, 4 << 20)
 
 
 def decode(samples: DataFrame, model: str, ids_col: str = "ids", theta: float = THETA) -> DataFrame:
