@@ -41,9 +41,9 @@ from binfold.llm.common import ragged
 
 PERMUTATIONS = 128
 BATCH = 32
-#: Another star round as long as the last one would compare so many times as many pairs as there are nodes.
-MANY = 4
-MOST_STARS = 6
+#: Another star round while the last step would compare so many times as many pairs as there are nodes, and the round before saved a third.
+MANY = 16
+MOST_STARS = 8
 _U = np.uint64
 
 
@@ -141,47 +141,36 @@ def digest(docs: DataFrame, k: int, permutations: int = PERMUTATIONS, id_col: st
     return common.map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", work, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-def _buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, node) for each band."""
+def _banded(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(node, values, bands): each signature as numbers, and a hash of each of its bands."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
             h = np.full((batch.num_rows, bands), 7, np.uint64) + np.arange(bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
             with np.errstate(over="ignore"):
                 for i in range(rows):
-                    h = _mix(h * _U(5) + values[:, i : bands * rows : rows])
-            ids = np.repeat(batch.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "node"])
+                    h = _mix(h * _U(5) + values[:, i : bands * rows : rows].astype(np.uint64))
+            lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(t)) for x, t in ((values.view(np.int32), pa.int32()), (h.view(np.int64), pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "values", "bands"])
 
-    return common.arrow_map(nodes.select("node", "signature"), run, "bucket long, node long")
+    return common.arrow_map(nodes.select("node", "signature"), run, "node long, values array<int>, bands array<long>")
 
 
-def _sequential(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float, permutations: int) -> DataFrame:
-    """The pairs (a, b) that the batches of signatures don't rule out."""
-    steps = least_matches(threshold, miss, permutations)
+def _possible(x: str, y: str, numerator: int, denominator: int, miss: float, permutations: int) -> str:
+    """SQL: the sizes of the sets x and y allow the threshold, and no batch of their signatures rules it out."""
+    tests, done, sums = [f"{denominator} * least({x}.size, {y}.size) >= {numerator} * greatest({x}.size, {y}.size)"], 0, []
+    for n, least in least_matches(numerator / denominator, miss, permutations):
+        sums.append(f"size(filter(zip_with(slice({x}.values, {done + 1}, {n - done}), slice({y}.values, {done + 1}, {n - done}), (p, q) -> p = q), z -> z))")
+        tests.append(f"{' + '.join(sums)} >= {least}")
+        done = n
+    return " AND ".join(tests)
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
-            live, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-            for n, least in steps:
-                matches[live] += (x[live, done:n] == y[live, done:n]).sum(axis=1)
-                live, done = live[matches[live] >= least], n
-            if len(live):
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(i).to_numpy()[live]) for i in (0, 1)], names=["a", "b"])
 
-    s = nodes.select("node", "signature")
-    both = pairs.join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return common.arrow_map(both, run, "a long, b long")
-
-
-def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. docs: doc_id, text."""
+def _sets(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the full sets of the nodes in near (node, digest, doc_id), from the texts, in a written table."""
 
     def full(batches):
         for block in common.blocks(batches, "text"):
@@ -192,6 +181,14 @@ def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numerato
             keep = [i for i, x in enumerate(same) if x]
             yield pa.RecordBatch.from_arrays([block.column(1).take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.binary())], names=["node", "shingles"])
 
+    text = docs.join(near, docs["doc_id"].eqNullSafe(near["doc_id"])).select("text", "node", "digest")
+    # an identifier may repeat with the same text
+    return common.written(common.arrow_map(text, full, "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+
     def confirm(batches):
         for block in common.blocks(batches, "x"):
             keep = []
@@ -204,11 +201,6 @@ def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, numerato
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([block.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = wanted.join(nodes.select("node", "digest", "doc_id"), "node")
-    text = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "node", "digest")
-    # an identifier may repeat with the same text
-    sets = common.written(common.arrow_map(text, full, "node long, shingles binary"), "neardup-sets").dropDuplicates(["node"])
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return common.arrow_map(both, confirm, "a long, b long")
 
@@ -235,12 +227,9 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-def _labelled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(bucket, node, root) of the buckets that hold several components."""
-    if roots is None:
-        full = buckets.withColumn("root", F.col("node"))
-    else:
-        full = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, band, node, root) of the buckets that hold several components."""
+    full = buckets.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     mixed = full.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("bucket")
     return full.join(mixed, "bucket")
 
@@ -249,55 +238,53 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int
     """A row for each document: doc_id, n_shingles, component_id (the smallest identifier reachable), kept."""
     threshold = numerator / denominator
     bands, rows = bands_for(threshold, permutations)
+    possible = _possible("x", "y", numerator, denominator, miss, permutations)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = common.written(digest(docs, k, permutations), "neardup-docs")
-    nodes = known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    nodes = known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
     n_nodes = nodes.count()
-    buckets = _buckets(nodes, bands, rows)
+    banded = common.written(_banded(nodes, bands, rows), "neardup-bands")
+    buckets = banded.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     # only nodes that share a bucket with another go on
     buckets = common.written(buckets.join(shared.select("bucket", "pivot"), "bucket"), "neardup-buckets")
     pairs = buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    buckets = buckets.select("bucket", "node")
-    tested: list[DataFrame] = []
+    near = buckets.select("node").distinct()
+    sets = _sets(nodes.select("node", "digest", "doc_id").join(near, "node"), docs, k)
+    signed = common.written(banded.join(near, "node").join(nodes.select("node", "size"), "node"), "neardup-signed")
     links: list[DataFrame] = []
-    roots = None
-    stars, last = 0, False
+    stars, before = 0, math.inf
     while True:
-        pairs = common.written(pairs, "neardup-pairs")
-        tested.append(pairs)
-        if pairs.isEmpty():
-            break
-        alive = common.written(_sequential(pairs, nodes, threshold, miss, permutations), "neardup-alive")
-        found = common.written(_exact(alive, nodes, docs, k, numerator, denominator), "neardup-links")
-        links.append(found)
+        # sequential verification of the pairs with a pivot, then the exact one
+        x, y = (signed.select(F.col("node").alias(c), F.struct("size", "values").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+        alive = common.written(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b"), "neardup-alive")
+        links.append(common.written(_exact(alive, sets, numerator, denominator), "neardup-links"))
         roots = common.written(connected(reduce(DataFrame.union, links)), "neardup-roots")
-        if last:
-            break
-        # nodes that have met all others of their bucket and found nothing need no second look: their bucket has two nodes
-        mixed = common.written(_labelled(buckets, roots), "neardup-mixed")
-        sizes = mixed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.xxhash64("node", F.lit(stars))).alias("h"))
+        mixed = common.written(_labelled(buckets.select("bucket", "band", "node"), roots), "neardup-mixed")
+        sizes = mixed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("total")).select("bucket", F.col("top.root").alias("top"), F.col("top.n").alias("top_n"), "total")
         cost = tops.agg(F.sum(F.expr("(total - top_n) * total"))).first()[0] or 0
         minor = mixed.join(tops.select("bucket", "top"), "bucket")
-        if cost > MANY * n_nodes and stars < MOST_STARS:
-            pivots = minor.where("root = top").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(stars))).alias("pivot"))
-            new = minor.where("root != top").join(pivots, "bucket").select("node", "pivot")
-            stars += 1
-        else:
-            left = minor.where("root != top").select("bucket", F.col("node").alias("node"), F.col("root").alias("r"))
-            new = left.join(mixed.select("bucket", F.col("node").alias("pivot"), F.col("root").alias("s")), "bucket").where("r != s").select("node", "pivot")
-            last = True
-        new = new.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        old = reduce(DataFrame.union, tested).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = new.join(old, ["a", "b"], "left_anti")
-    if roots is None:
-        of = nodes.select("digest", F.col("doc_id").alias("component_id"))
-    else:
-        rooted = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        of = rooted.join(least, "root").select("digest", "component_id")
+        stars += 1
+        if cost <= MANY * n_nodes or cost > 0.7 * before or stars >= MOST_STARS:
+            break
+        before = cost
+        pivots = minor.where("root = top").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(stars))).alias("pivot"))
+        pairs = minor.where("root != top").join(pivots, "bucket").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    if cost:
+        # what is left: nodes outside their bucket's largest component against all of other components.
+        # a pair counts in its first common band alone, and goes on only if its signatures allow it
+        left = minor.where("root != top").join(signed, "node").select("bucket", "band", F.struct("node", "root", "top", "size", "values", "bands").alias("x"))
+        right = minor.join(signed, "node").select("bucket", F.struct("node", "root", "top", "size", "values", "bands").alias("y"))
+        once = "array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = band + 1 AND (y.root = y.top OR x.node < y.node)"
+        alive = left.join(right, "bucket").where(f"x.root != y.root AND {once} AND {possible}").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        alive = common.written(alive.distinct(), "neardup-alive")
+        links.append(common.written(_exact(alive, sets, numerator, denominator), "neardup-links"))
+        roots = common.written(connected(reduce(DataFrame.union, links)), "neardup-roots")
+    rooted = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of = rooted.join(least, "root").select("digest", "component_id")
     full = known.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").withColumn("component_id", F.expr("CASE WHEN digest IS NULL THEN doc_id ELSE component_id END"))
     return full.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
