@@ -66,6 +66,24 @@ def uniform(*parts: np.ndarray | int) -> np.ndarray:
     return ((uniform_bits(*parts) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+class _Growing:
+    """An array that grows at its end; its room doubles."""
+
+    def __init__(self, dtype: type) -> None:
+        self.room, self.n = np.zeros(1 << 16, dtype), 0
+
+    def add(self, more: np.ndarray) -> np.ndarray:
+        """The whole array with `more` at its end."""
+        end = self.n + len(more)
+        if end > len(self.room):
+            room = np.zeros(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : end] = more
+        self.n = end
+        return self.room[:end]
+
+
 class Lattices:
     """The lattices of the words met so far, as flat arrays.
 
@@ -101,10 +119,9 @@ class Lattices:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.base, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.share_of = np.zeros(0)
-        self.prev, self.code = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.grown = {name: _Growing(kind) for name, kind in (("base", np.int64), ("size", np.int64), ("first", np.int64), ("share_of", np.float64), ("prev", np.int32), ("code", np.int32))}
+        self.base, self.size, self.first, self.share_of, self.prev, self.code = (g.add(np.zeros(0, np.int64)) for g in self.grown.values())
+        self.n_nodes = 0
 
     def _trie(self) -> None:
         """The pieces as a trie: a table by hash of (state, character) gives the next state."""
@@ -127,6 +144,28 @@ class Lattices:
         self.log_share, self.piece = np.array(self.log_share), np.array(self.piece)
         self.move_keys = np.array(sorted(moves), np.int64)
         self.move_to = np.array([moves[x] for x in self.move_keys.tolist()], np.int64)
+        # keys that share a slot are found by binary search
+        slot = self._slot(self.move_keys)
+        self.slots = np.zeros(1 << 20, np.int64)
+        self.slots[slot] = np.arange(len(slot))
+        self.shared = np.zeros(1 << 20, bool)
+        self.shared[slot[self.slots[slot] != np.arange(len(slot))]] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(44)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is in move_keys, or -1."""
+        slot = self._slot(keys)
+        found = self.slots[slot]
+        wrong = self.move_keys[found] != keys
+        again = np.flatnonzero(wrong & self.shared[slot])
+        found[wrong] = -1
+        if len(again):
+            at = np.minimum(np.searchsorted(self.move_keys, keys[again]), len(self.move_keys) - 1)
+            found[again] = np.where(self.move_keys[at] == keys[again], at, -1)
+        return found
 
     def _edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """All edges of the words: first edge of each node, shares, nodes before, codes; nodes count from 0."""
@@ -142,8 +181,8 @@ class Lattices:
         single = np.zeros(len(points), bool)
         for n in range(1, self.longest + 1):
             keys = state * self.n_letters + letters[at + n - 1]
-            found = np.minimum(np.searchsorted(self.move_keys, keys), len(self.move_keys) - 1)
-            hit = (self.move_keys[found] == keys) & (letters[at + n - 1] >= 0)
+            found = self._find(keys)
+            hit = (found >= 0) & (letters[at + n - 1] >= 0)
             at, state = at[hit], self.move_to[found[hit]]
             whole = self.piece[state] >= 0
             if n == 1:
@@ -162,7 +201,7 @@ class Lattices:
         base = np.concatenate([[0], np.cumsum(size + 1)])
         # the forward sums, for all words at once, place by place
         depth = end - np.repeat(base[:-1], size + 1)[end]
-        order = np.lexsort((end, depth))
+        order = np.argsort(depth << 32 | end)
         begin, end, log, code, depth = begin[order], end[order], log[order], code[order], depth[order]
         sums, mass = np.zeros(int(base[-1])), np.empty(len(end))
         edges = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2) if len(depth) else np.zeros(0))
@@ -175,7 +214,7 @@ class Lattices:
             here = np.add.reduceat(w, first)
             sums[to[first]] = top + np.log(here)
             mass[a:b] = w / np.repeat(here, n)
-        order = np.lexsort((-mass, end))
+        order = np.argsort(end - mass)  # by node, larger shares first
         first = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=int(base[-1])))])
         return first, mass[order], begin[order], code[order], base[:-1], size
 
@@ -187,13 +226,14 @@ class Lattices:
             if len(self.share_of) > CACHE_EDGES:
                 self._clear()
                 known, new = self.known, words
-            node, old = len(self.first) - 1, len(self.share_of)
+            node, old = self.n_nodes, len(self.share_of)
             known.update(zip(new, range(len(known), len(known) + len(new))))
             first, share, prev, code, base, size = self._edges([w.replace(" ", SPACE) for w in new])
-            self.first = np.concatenate([self.first[:-1], first + old])
-            self.share_of = np.concatenate([self.share_of, share])
-            self.prev, self.code = np.concatenate([self.prev, (prev + node).astype(np.int32)]), np.concatenate([self.code, code.astype(np.int32)])
-            self.base, self.size = np.concatenate([self.base, base + node]), np.concatenate([self.size, size])
+            self.n_nodes += len(first) - 1
+            if old:
+                self.grown["first"].n -= 1  # the last node's end is the next one's begin
+            for name, more in (("first", first + old), ("share_of", share), ("prev", prev + node), ("code", code), ("base", base + node), ("size", size)):
+                setattr(self, name, self.grown[name].add(more))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def walk(self, base: np.ndarray, at: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
