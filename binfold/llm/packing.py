@@ -1,11 +1,12 @@
 """Packing documents into windows of at most `limit` tokens by Karmarkar-Karp differencing.
 
 A document's ids are cut into pieces: as many whole windows as it fills, and a rest. Rests
-are gathered in groups of bounded size, the longest cut to small pieces, and dealt to m = ceil(tokens / limit) windows: each
-rest begins as a partial partition of its own, and the two partitions of the largest spread
-are merged again and again with opposing imbalances, the fullest window of one to the
-emptiest of the other. If a window exceeds the limit, m rises by one and the group is dealt
-anew. A task's last group ends in windows whose sizes are powers of two, which need no padding.
+are gathered in groups of bounded size, the longest cut to small pieces, and dealt to
+m = ceil(tokens / limit) windows: each rest begins as a partial partition of its own, and the
+two partitions of the largest spread are merged again and again with opposing imbalances, the
+fullest window of one to the emptiest of the other. If a window exceeds the limit, m rises by
+one and the group is dealt anew. What a group has beyond whole windows waits for the next one;
+a task's last group ends in windows whose sizes are powers of two, which need no padding.
 
 Null and empty texts have the end id alone. Repeated rows and identifiers are documents of
 their own; null identifiers stay null. Other columns are ignored. Window ids are unique and
@@ -31,6 +32,8 @@ LIMIT = 4096
 GROUP = 768
 #: The longest rests of a group are cut to pieces of so many tokens, one a window or so, which even the windows out.
 GRAIN = 32
+#: Tokens that a window of a group may fall short of the limit by, so that the differencing has room.
+SLACK = 20
 
 
 def difference(sizes: list[int], m: int) -> list[list[int]]:
@@ -100,8 +103,22 @@ class Packer:
             # the rest's ids, and as if they stood at their place in the document
             self.rests.append((doc_id, ids[whole:].copy(), whole, len(ids)))
             if len(self.rests) >= self.group:
+                kept = self._set_apart()
                 self._deal(self.rests)
-                self.rests = []
+                self.rests = kept
+
+    def _set_apart(self) -> list[tuple]:
+        """Takes from the rests what they have beyond whole windows with their slack: pieces of the last documents."""
+        total = sum(len(r[1]) for r in self.rests)
+        spare, out = total - total // self.limit * (self.limit - min(SLACK, self.limit // 8)), []
+        while spare > 0:
+            doc_id, ids, whole, length = self.rests.pop()
+            n = min(len(ids), spare)
+            if n < len(ids):
+                self.rests.append((doc_id, ids[: len(ids) - n], whole, length))
+            out.append((doc_id, ids[len(ids) - n :], whole + len(ids) - n, length))
+            spare -= n
+        return out
 
     def _rest(self, rest: tuple, a: int, b: int, offset: int) -> None:
         doc_id, ids, whole, total = rest
@@ -123,22 +140,23 @@ class Packer:
 
     def finish(self) -> None:
         """The last group. What whole windows leave over goes to windows of powers of two."""
-        rests, self.rests = self.rests, []
-        spare = sum(len(r[1]) for r in rests) % self.limit
-        room, offset = (1 << spare.bit_length() - 1) if spare else 0, 0
+        apart = self._set_apart()
+        if self.rests:
+            self._deal(self.rests)
+        spare = sum(len(r[1]) for r in apart)
+        room = offset = 0
         while spare:
-            doc_id, ids, whole, total = rests.pop()
+            room = room or min(1 << spare.bit_length() - 1, 1 << self.limit.bit_length() - 1)
+            doc_id, ids, whole, length = apart.pop()
             n = min(len(ids), room - offset)
-            self._rest((doc_id, ids, whole, total), len(ids) - n, len(ids), offset)
+            self._rest((doc_id, ids, whole, length), 0, n, offset)
             if n < len(ids):
-                rests.append((doc_id, ids[: len(ids) - n], whole, total))
+                apart.append((doc_id, ids[n:], whole + n, length))
             offset += n
             if offset == room:
                 self.window += 1
-                spare, offset = spare - room, 0
-                room = (1 << spare.bit_length() - 1) if spare else 0
-        if rests:
-            self._deal(rests)
+                spare, room, offset = spare - room, 0, 0
+        self.rests = []
 
 
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
