@@ -13,11 +13,11 @@ threshold, and documents that links connect form a component.
    time: under a uniform prior the similarity's posterior after m of n matches is Beta(m + 1,
    n - m + 1), and a pair is given up as soon as the posterior probability that it reaches the
    threshold falls below `miss`. Survivors are confirmed on the full sets, recomputed from the texts.
-4. Links give components. A bucket that still holds several components has other candidates:
-   the nodes outside its largest component, first against that component's pivot, as long as
-   that saves many pairs, then each against every node of another component. Pairs within a component need no test.
+4. Links give components. Where a pivot's nodes are still in several, the nodes outside the
+   largest one are verified against all others that share a bucket with them, block by block;
+   pairs within a component need no test.
 
-So no bucket ever makes all its pairs, and no link between components is left out.
+So pairs are never rows but for those with a pivot and for links, and no link between components is left out.
 
 Texts that are null or have no words have an empty set and are linked with nothing. A null
 identifier counts as larger than any other. Rows that repeat an identifier are documents of
@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +40,8 @@ from binfold.llm.common import ragged
 
 PERMUTATIONS = 128
 BATCH = 32
-#: Another star round while the last step would compare so many times as many pairs as there are nodes, and the round before saved a third.
-MANY = 16
-MOST_STARS = 8
+#: Nodes and bytes of a block at most, or about.
+BLOCK_NODES, BLOCK_BYTES = 256, 2 << 20
 _U = np.uint64
 
 
@@ -186,6 +184,14 @@ def _sets(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return common.written(common.arrow_map(text, full, "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    """Whether two sorted sets' intersection over union reaches numerator / denominator."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return denominator * both >= numerator * (len(x) + len(y) - both)
+
+
 def _exact(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -193,11 +199,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
         for block in common.blocks(batches, "x"):
             keep = []
             for i, (x, y) in enumerate(zip(block.column(2).to_pylist(), block.column(3).to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if denominator * both >= numerator * (len(x) + len(y) - both):
+                if _similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), numerator, denominator):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([block.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
@@ -227,61 +229,76 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, band, node, root) of the buckets that hold several components."""
-    full = buckets.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = full.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("bucket")
-    return full.join(mixed, "bucket")
+def _cross(groups: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, numerator: int, denominator: int, miss: float, permutations: int) -> DataFrame:
+    """Links (a, b) between components inside a pivot's group (pivot, node).
+
+    The nodes outside a group's largest component meet all its nodes, in blocks: a row holds two
+    blocks, and only links leave it. A pair counts if it shares a band, its sizes allow the
+    threshold, no batch of signatures rules it out and the full sets confirm it.
+    """
+    full = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = full.groupBy("pivot", "root").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("pivot", F.col("top.root").alias("top"))
+    mixed = full.join(tops, "pivot").join(signed, "node").join(sets, "node")
+    room = mixed.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.length("shingles") + 1024) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    mixed = common.written(mixed.join(room, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks"), "neardup-mixed")
+    row = F.collect_list(F.struct("node", "root", "size", "values", "bands", "shingles"))
+    rows = mixed.groupBy("pivot", "block").agg(row.alias("y")).drop("block")
+    few = mixed.where("root != top").groupBy("pivot", "block").agg(row.alias("x")).drop("block")
+    steps = least_matches(numerator / denominator, miss, permutations)
+
+    def columns(block: list[dict]) -> tuple[np.ndarray, ...]:
+        return tuple(np.array([r[c] for r in block]) for c in ("node", "root", "size", "values", "bands"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                xs, ys = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                (xn, xr, xz, xv, xb), (yn, yr, yz, yv, yb) = columns(xs), columns(ys)
+                able = (xr[:, None] != yr) & (denominator * np.minimum(xz[:, None], yz) >= numerator * np.maximum(xz[:, None], yz))
+                common_band = np.zeros_like(able)
+                for k in range(xb.shape[1]):
+                    common_band |= xb[:, k, None] == yb[:, k]
+                p, q = np.nonzero(able & common_band)
+                matches, done = np.zeros(len(p), np.int64), 0
+                for n, least in steps:
+                    matches += (xv[p, done:n] == yv[q, done:n]).sum(axis=1)
+                    keep = matches >= least
+                    p, q, matches, done = p[keep], q[keep], matches[keep], n
+                a, b = [np.frombuffer(r["shingles"], np.uint64) for r in xs], [np.frombuffer(r["shingles"], np.uint64) for r in ys]
+                good = [k for k, (u, v) in enumerate(zip(p.tolist(), q.tolist())) if _similar(a[u], b[v], numerator, denominator)]
+                yield pa.RecordBatch.from_arrays([pa.array(xn[p[good]], pa.int64()), pa.array(yn[q[good]], pa.int64())], names=["a", "b"])
+
+    both = few.join(rows, "pivot").select("x", "y").repartition(common.parallelism(groups.sparkSession))
+    return common.arrow_map(both, run, "a long, b long")
 
 
 def components(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5, miss: float = 1e-6, permutations: int = PERMUTATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest identifier reachable), kept."""
     threshold = numerator / denominator
     bands, rows = bands_for(threshold, permutations)
-    possible = _possible("x", "y", numerator, denominator, miss, permutations)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = common.written(digest(docs, k, permutations), "neardup-docs")
     nodes = known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
-    n_nodes = nodes.count()
     banded = common.written(_banded(nodes, bands, rows), "neardup-bands")
-    buckets = banded.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = banded.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     # only nodes that share a bucket with another go on
     buckets = common.written(buckets.join(shared.select("bucket", "pivot"), "bucket"), "neardup-buckets")
-    pairs = buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = common.written(buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "neardup-pairs")
     near = buckets.select("node").distinct()
     sets = _sets(nodes.select("node", "digest", "doc_id").join(near, "node"), docs, k)
     signed = common.written(banded.join(near, "node").join(nodes.select("node", "size"), "node"), "neardup-signed")
-    links: list[DataFrame] = []
-    stars, before = 0, math.inf
-    while True:
-        # sequential verification of the pairs with a pivot, then the exact one
-        x, y = (signed.select(F.col("node").alias(c), F.struct("size", "values").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-        alive = common.written(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b"), "neardup-alive")
-        links.append(common.written(_exact(alive, sets, numerator, denominator), "neardup-links"))
-        roots = common.written(connected(reduce(DataFrame.union, links)), "neardup-roots")
-        mixed = common.written(_labelled(buckets.select("bucket", "band", "node"), roots), "neardup-mixed")
-        sizes = mixed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("total")).select("bucket", F.col("top.root").alias("top"), F.col("top.n").alias("top_n"), "total")
-        cost = tops.agg(F.sum(F.expr("(total - top_n) * total"))).first()[0] or 0
-        minor = mixed.join(tops.select("bucket", "top"), "bucket")
-        stars += 1
-        if cost <= MANY * n_nodes or cost > 0.7 * before or stars >= MOST_STARS:
-            break
-        before = cost
-        pivots = minor.where("root = top").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(stars))).alias("pivot"))
-        pairs = minor.where("root != top").join(pivots, "bucket").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    if cost:
-        # what is left: nodes outside their bucket's largest component against all of other components.
-        # a pair counts in its first common band alone, and goes on only if its signatures allow it
-        left = minor.where("root != top").join(signed, "node").select("bucket", "band", F.struct("node", "root", "top", "size", "values", "bands").alias("x"))
-        right = minor.join(signed, "node").select("bucket", F.struct("node", "root", "top", "size", "values", "bands").alias("y"))
-        once = "array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = band + 1 AND (y.root = y.top OR x.node < y.node)"
-        alive = left.join(right, "bucket").where(f"x.root != y.root AND {once} AND {possible}").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        alive = common.written(alive.distinct(), "neardup-alive")
-        links.append(common.written(_exact(alive, sets, numerator, denominator), "neardup-links"))
-        roots = common.written(connected(reduce(DataFrame.union, links)), "neardup-roots")
+    # with its bucket's pivot: sequential verification, then the exact one
+    x, y = (signed.select(F.col("node").alias(c), F.struct("size", "values").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    alive = common.written(pairs.join(x, "a").join(y, "b").where(_possible("x", "y", numerator, denominator, miss, permutations)).select("a", "b"), "neardup-alive")
+    links = common.written(_exact(alive, sets, numerator, denominator), "neardup-links")
+    roots = common.written(connected(links), "neardup-roots")
+    # two nodes of a bucket have its pivot in common: what is left is in the groups of a pivot that hold several components
+    groups = pairs.select(F.col("b").alias("pivot"), F.col("a").alias("node")).union(pairs.select("b", "b").distinct())
+    left = common.written(_cross(groups, roots, signed, sets, numerator, denominator, miss, permutations), "neardup-links")
+    roots = common.written(connected(links.union(left)), "neardup-roots")
     rooted = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = rooted.join(least, "root").select("digest", "component_id")
