@@ -97,4 +97,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against plain versions in tests/llm."""
+    from binfold.llm.sql import ORACLES
+
+    return dict(ORACLES)
