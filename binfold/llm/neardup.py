@@ -32,7 +32,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from binfold.llm import common
@@ -218,19 +218,19 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # each larger neighbour goes to the least one
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
-        now = common.written(small.distinct(), name)
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
+        watch = Observation()
+        now = common.written(small.distinct().observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+        if watch.get == seen:
             break
-        seen = state
+        seen = watch.get
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
 def _cross(groups: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, numerator: int, denominator: int, miss: float, permutations: int) -> DataFrame:
-    """Links (a, b) between components inside a pivot's group (pivot, node).
+    """Links (a, b) between components inside a pivot's group (pivot, node): as many as connect what links connect.
 
     The nodes outside a group's largest component meet all its nodes, in blocks: a row holds two
     blocks, and only links leave it. A pair counts if it shares a band, its sizes allow the
@@ -247,14 +247,15 @@ def _cross(groups: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFra
     few = mixed.where("root != top").groupBy("pivot", "block").agg(row.alias("x")).drop("block")
     steps = least_matches(numerator / denominator, miss, permutations)
 
-    def columns(block: list[dict]) -> tuple[np.ndarray, ...]:
-        return tuple(np.array([r[c] for r in block]) for c in ("node", "root", "size", "values", "bands"))
+    def columns(block: pa.StructArray) -> tuple:
+        node, root, size, values, bands, found = (pc.struct_field(block, c) for c in ("node", "root", "size", "values", "bands", "shingles"))
+        wide = (x.flatten().to_numpy().reshape(len(block), -1) for x in (values, bands))
+        return (*(x.to_numpy() for x in (node, root, size)), *wide, [np.frombuffer(x, np.uint64) for x in found.to_pylist()])
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                xs, ys = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                (xn, xr, xz, xv, xb), (yn, yr, yz, yv, yb) = columns(xs), columns(ys)
+                (xn, xr, xz, xv, xb, a), (yn, yr, yz, yv, yb, b) = (columns(batch.column(c)[i].values) for c in (0, 1))
                 able = (xr[:, None] != yr) & (denominator * np.minimum(xz[:, None], yz) >= numerator * np.maximum(xz[:, None], yz))
                 common_band = np.zeros_like(able)
                 for k in range(xb.shape[1]):
@@ -265,8 +266,20 @@ def _cross(groups: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFra
                     matches += (xv[p, done:n] == yv[q, done:n]).sum(axis=1)
                     keep = matches >= least
                     p, q, matches, done = p[keep], q[keep], matches[keep], n
-                a, b = [np.frombuffer(r["shingles"], np.uint64) for r in xs], [np.frombuffer(r["shingles"], np.uint64) for r in ys]
-                good = [k for k, (u, v) in enumerate(zip(p.tolist(), q.tolist())) if _similar(a[u], b[v], numerator, denominator)]
+                # likelier pairs first; those that links of this block connect already need no test
+                above: dict[int, int] = {}
+
+                def top(r: int) -> int:
+                    while r in above:
+                        r = above[r]
+                    return r
+
+                good = []
+                for k in np.argsort(-matches, kind="stable").tolist():
+                    u, v = top(int(xr[p[k]])), top(int(yr[q[k]]))
+                    if u != v and _similar(a[p[k]], b[q[k]], numerator, denominator):
+                        above[max(u, v)] = min(u, v)
+                        good.append(k)
                 yield pa.RecordBatch.from_arrays([pa.array(xn[p[good]], pa.int64()), pa.array(yn[q[good]], pa.int64())], names=["a", "b"])
 
     both = few.join(rows, "pivot").select("x", "y").repartition(common.parallelism(groups.sparkSession))
@@ -294,7 +307,13 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int
     x, y = (signed.select(F.col("node").alias(c), F.struct("size", "values").alias(v)) for c, v in (("a", "x"), ("b", "y")))
     alive = common.written(pairs.join(x, "a").join(y, "b").where(_possible("x", "y", numerator, denominator, miss, permutations)).select("a", "b"), "neardup-alive")
     links = common.written(_exact(alive, sets, numerator, denominator), "neardup-links")
-    roots = common.written(connected(links), "neardup-roots")
+    # so far: a node's root is the least pivot that it is linked with, or that pivot's root, or that one's
+    least = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    roots = least
+    for _ in range(2):
+        above = least.toDF("_node", "_root")
+        roots = roots.join(above, roots["root"] == above["_node"], "left").select("node", F.coalesce("_root", "root").alias("root"))
+    roots = common.written(roots, "neardup-roots")
     # two nodes of a bucket have its pivot in common: what is left is in the groups of a pivot that hold several components
     groups = pairs.select(F.col("b").alias("pivot"), F.col("a").alias("node")).union(pairs.select("b", "b").distinct())
     left = common.written(_cross(groups, roots, signed, sets, numerator, denominator, miss, permutations), "neardup-links")
