@@ -44,11 +44,6 @@ def order_key(kind: Column, pos: Column, bits: int) -> Column:
 
 
 def special_value(kind: Column) -> Column:
-    """The value of a special kind; null for bins."""
-    return (
-        F.when(kind == "ninf", F.lit(float("-inf")))
-        .when(kind == "pinf", F.lit(float("inf")))
-        .when(kind == "nzero", F.lit(-0.0))
-        .when(kind.isin("pzero", "zero"), F.lit(0.0))
-        .when(kind == "nan", F.lit(float("nan")))
-    )
+    """The value of a special kind; null for bins. One look-up, so that the kind's own expression isn't repeated."""
+    values = {"ninf": float("-inf"), "pinf": float("inf"), "nzero": -0.0, "pzero": 0.0, "zero": 0.0, "nan": float("nan")}
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[kind]

@@ -20,18 +20,15 @@ def ieee_bits(x: Column) -> Column:
     return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x.cast("double")).cast("bigint")
 
 
-def kind(bits: Column, signed_zero: bool) -> Column:
-    """fin, nan, pinf, ninf and nzero, pzero (or zero) by the bits; null for null."""
+#: The kinds other than fin.
+KINDS = ("nan", "pinf", "ninf", "pzero", "nzero", "zero")
+
+
+def special(bits: Column, signed_zero: bool) -> Column:
+    """The place in KINDS of a number that isn't finite or is zero."""
     size = bits.bitwiseAND(F.lit((1 << 63) - 1))
-    negative = bits < 0
-    exponent = F.lit(0x7FF << 52)
-    return (
-        F.when(bits.isNull(), None)
-        .when(size == 0, F.when(negative, "nzero").otherwise("pzero") if signed_zero else F.lit("zero"))
-        .when(size < exponent, "fin")
-        .when(size > exponent, "nan")
-        .otherwise(F.when(negative, "ninf").otherwise("pinf"))
-    )
+    zero = F.when(bits < 0, 4).otherwise(3) if signed_zero else F.lit(5)
+    return F.when(size == 0, zero).when(size > F.lit(0x7FF << 52), 0).when(bits < 0, 2).otherwise(1)
 
 
 def is_finite(bits: Column) -> Column:
@@ -40,10 +37,9 @@ def is_finite(bits: Column) -> Column:
     return (size != 0) & (size < F.lit(0x7FF << 52))
 
 
-def _top(mk: Column) -> Column:
-    """The place of the highest set bit of a positive number below 2^62: log2 of its double, put right by one where that rounds."""
-    guess = F.floor(F.log2(mk.cast("double"))).cast("int")
-    return F.when(F.expr("1L") == mk, 0).otherwise(guess - (_shift_left(guess) > mk).cast("int") + (_shift_left(guess + 1) <= mk).cast("int"))
+def rough_top(mk: Column) -> Column:
+    """About the place of the highest set bit of a positive number below 2^62, by log2 of its double, which rounds. 0 where there is none."""
+    return F.when(mk > 0, F.floor(F.log2(mk.cast("double"))).cast("int")).otherwise(0)
 
 
 def _shift_left(n: Column) -> Column:
@@ -54,24 +50,24 @@ def _shift_right(x: Column, n: Column) -> Column:
     return F.call_function("shiftright", x, n)
 
 
-def folded(bits: Column, fast_nd: bool = False) -> Column:
+def exponent(bits: Column) -> Column:
+    """The exponent of a double, without its bias."""
+    return F.shiftrightunsigned(bits, 52).bitwiseAND(F.lit(0x7FF)).cast("int") - 1023
+
+
+def folded(bits: Column, e: Column, fast_nd: bool = False) -> Column:
     """The folded exponent above the mantissa. Negative for 1 <= |x| < 2 in n-D Fast layouts, whose fold takes exponent 0 for a negative one."""
-    e = _exponent(bits)
     fold = F.when(e <= 0 if fast_nd else e < 0, -e - 1).otherwise(e).cast("bigint")
     return F.shiftleft(fold, 52).bitwiseOR(bits.bitwiseAND(F.lit(MANTISSA)))
 
 
-def _exponent(bits: Column) -> Column:
-    return F.shiftrightunsigned(bits, 52).bitwiseAND(F.lit(0x7FF)).cast("int") - 1023
-
-
-def leading_one(mk: Column) -> Column:
-    """The place of the highest set bit of folded(); 0 where there is none."""
-    return F.when(mk > 0, _top(mk)).otherwise(0)
+def leading_one(mk: Column, rough: Column) -> Column:
+    """The place of the highest set bit, from rough_top()."""
+    return rough - ((mk > 0) & (_shift_left(rough) > mk)).cast("int") + (_shift_left(rough + 1) <= mk).cast("int")
 
 
-def code(bits: Column, mk: Column, f: Column, precision: int, fast_nd: bool = False) -> Column:
-    """The code of a finite number other than zero, from its bits, folded() and leading_one(), which are columns of steps before."""
+def code(bits: Column, e: Column, mk: Column, f: Column, precision: int, fast_nd: bool = False) -> Column:
+    """The code of a finite number other than zero, from its bits, exponent(), folded() and leading_one(), which are columns of steps before."""
     mask = F.lit((1 << precision) - 1)
     zeros = 61 - f
     if fast_nd:
@@ -82,7 +78,7 @@ def code(bits: Column, mk: Column, f: Column, precision: int, fast_nd: bool = Fa
         usual = F.shiftleft(zeros, precision).bitwiseOR(_shift_right(mk, f - precision).bitwiseAND(mask).cast("int"))
         found = F.when(mk == 0, F.lit(15 << precision)).when(zeros >= 15, deep).otherwise(usual)
     width = precision + (3 if fast_nd else 4)
-    return (found.cast("int") + F.when(bits < 0, 2 << width).otherwise(0) + F.when(_exponent(bits) < 0, 1 << width).otherwise(0)).cast("int")
+    return (found.cast("int") + F.when(bits < 0, 2 << width).otherwise(0) + F.when(e < 0, 1 << width).otherwise(0)).cast("int")
 
 
 def encode_numpy(x: np.ndarray, precision: int) -> np.ndarray:

@@ -55,8 +55,8 @@ class Histogram:
         return self.df.groupBy(*self.by).agg(total("pinf").alias("pos_inf"), total("ninf").alias("neg_inf"), total("pzero", "zero").alias("pos_zero"), total("nzero").alias("neg_zero"), total("nan").alias("nan"))
 
 
-def bin_columns(df: DataFrame, columns: Sequence[str], layout: Config, keep: Sequence[str] = ()) -> DataFrame:
-    """df's rows as bins: `keep`, then the kind and code of each axis. Rows with a null axis go."""
+def _packed(df: DataFrame, columns: Sequence[str], layout: Config, keep: Sequence[str]) -> DataFrame:
+    """`keep`, and _p0, _p1, ...: each axis's code, or -1 less a special kind's place in codec.KINDS."""
     kinds = dict(df.dtypes)
     for c in columns:
         if kinds.get(c) not in _NUMBERS:
@@ -67,22 +67,39 @@ def bin_columns(df: DataFrame, columns: Sequence[str], layout: Config, keep: Seq
     axes, fast = range(layout.dims), layout.fast_nd
     # step by step, so that no step's expression is computed twice
     bits = df.where(some).select(*keep, *(codec.ieee_bits(F.col(c)).alias(f"_b{i}") for i, c in enumerate(columns)))
-    folded = bits.withColumns({f"_k{i}": codec.folded(F.col(f"_b{i}"), fast) for i in axes})
-    placed = folded.withColumns({f"_f{i}": codec.leading_one(F.col(f"_k{i}")) for i in axes})
+    cut = bits.withColumns({f"_e{i}": codec.exponent(F.col(f"_b{i}")) for i in axes})
+    folded = cut.withColumns({f"_k{i}": codec.folded(F.col(f"_b{i}"), F.col(f"_e{i}"), fast) for i in axes})
+    rough = folded.withColumns({f"_g{i}": codec.rough_top(F.col(f"_k{i}")) for i in axes})
+    placed = rough.withColumns({f"_f{i}": codec.leading_one(F.col(f"_k{i}"), F.col(f"_g{i}")) for i in axes})
     out = []
     for i in axes:
-        b, k, f = (F.col(f"_{x}{i}") for x in "bkf")
-        kind = codec.kind(b, signed_zero=layout.dims == 1)
-        suffix = "" if layout.dims == 1 else f"_{AXES[i]}"
-        out += [kind.alias(f"kind{suffix}"), F.when(codec.is_finite(b), codec.code(b, k, f, layout.precision, fast)).alias(f"code{suffix}")]
+        b, e, k, f = (F.col(f"_{x}{i}") for x in "bekf")
+        code = codec.code(b, e, k, f, layout.precision, fast)
+        out.append(F.when(codec.is_finite(b), code).otherwise(-1 - codec.special(b, signed_zero=layout.dims == 1)).alias(f"_p{i}"))
     return placed.select(*keep, *out)
 
 
+def _unpacked(df: DataFrame, layout: Config) -> list[Column]:
+    """kind and code of each axis from _p0, _p1, ..."""
+    out, names = [], F.array(*map(F.lit, codec.KINDS))
+    for i in range(layout.dims):
+        p, suffix = F.col(f"_p{i}"), "" if layout.dims == 1 else f"_{AXES[i]}"
+        out += [F.when(p >= 0, "fin").otherwise(F.get(names, -1 - p)).alias(f"kind{suffix}"), F.when(p >= 0, p).alias(f"code{suffix}")]
+    return out
+
+
+def bin_columns(df: DataFrame, columns: Sequence[str], layout: Config, keep: Sequence[str] = ()) -> DataFrame:
+    """df's rows as bins: `keep`, then the kind and code of each axis. Rows with a null axis go."""
+    packed = _packed(df, columns, layout, keep)
+    return packed.select(*keep, *_unpacked(packed, layout))
+
+
 def build(df: DataFrame, columns: str | Sequence[str], layout: str | Config, by: Sequence[str] = ()) -> Histogram:
     """The histogram of 1 to 4 columns; with `by`, one for each group."""
     layout, columns = config(layout), [columns] if isinstance(columns, str) else list(columns)
-    empty = Histogram(layout, df, tuple(by))
-    return Histogram(layout, bin_columns(df, columns, layout, by).groupBy(*empty.keys).count(), tuple(by))
+    # counted by one number an axis; kinds get their names afterwards
+    counts = _packed(df, columns, layout, by).groupBy(*by, *(f"_p{i}" for i in range(layout.dims))).count()
+    return Histogram(layout, counts.select(*by, *_unpacked(counts, layout), "count"), tuple(by))
 
 
 def merge(histograms: Iterable[Histogram]) -> Histogram:

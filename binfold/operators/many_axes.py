@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binfold.functions.bins import bin_info
+from binfold.functions.bins import bin_info, special_value
 from binfold.functions.codec import bin_table
 from binfold.operators.histogram import AXES, Histogram
 
@@ -37,7 +37,7 @@ def boundaries(hist: Histogram) -> DataFrame:
     for a in axes:
         kind, code = ("kind", "code") if len(axes) == 1 else (f"kind_{a}", f"code_{a}")
         rows = rows.withColumn(f"_{a}", bin_info(F.col(code), hist.config.bits))
-        special = F.when(F.col(kind) == "pinf", float("inf")).when(F.col(kind) == "ninf", float("-inf")).when(F.col(kind) == "zero", 0.0).when(F.col(kind) == "nan", float("nan"))
+        special = special_value(F.col(kind))
         out += [F.coalesce(special, F.col(f"_{a}.lower")).alias(f"{a}_min"), F.coalesce(special, F.col(f"_{a}.upper")).alias(f"{a}_max")]
     return rows.select(*out, F.col("count").alias("counts"))
 
