@@ -140,21 +140,21 @@ def digest(docs: DataFrame, k: int, permutations: int = PERMUTATIONS, id_col: st
 
 
 def _banded(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(node, values, bands): each signature as numbers, and a hash of each of its bands."""
+    """(node, digest, doc_id, size, values, bands): each signature as numbers, and a hash of each of its bands."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            values = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
             h = np.full((batch.num_rows, bands), 7, np.uint64) + np.arange(bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
             with np.errstate(over="ignore"):
                 for i in range(rows):
                     h = _mix(h * _U(5) + values[:, i : bands * rows : rows].astype(np.uint64))
             lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(t)) for x, t in ((values.view(np.int32), pa.int32()), (h.view(np.int64), pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "values", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], names=["node", "digest", "doc_id", "size", "values", "bands"])
 
-    return common.arrow_map(nodes.select("node", "signature"), run, "node long, values array<int>, bands array<long>")
+    return common.arrow_map(nodes.select("node", "digest", "doc_id", "size", "signature"), run, "node long, digest binary, doc_id long, size long, values array<int>, bands array<long>")
 
 
 def _possible(x: str, y: str, numerator: int, denominator: int, miss: float, permutations: int) -> str:
@@ -293,16 +293,15 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = common.written(digest(docs, k, permutations), "neardup-docs")
     nodes = known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
-    nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
-    banded = common.written(_banded(nodes, bands, rows), "neardup-bands")
-    buckets = banded.select("node", F.explode("bands").alias("bucket"))
+    nodes = common.written(_banded(nodes.withColumn("node", F.monotonically_increasing_id()), bands, rows), "neardup-nodes")
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     # only nodes that share a bucket with another go on
     buckets = common.written(buckets.join(shared.select("bucket", "pivot"), "bucket"), "neardup-buckets")
     pairs = common.written(buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "neardup-pairs")
     near = buckets.select("node").distinct()
     sets = _sets(nodes.select("node", "digest", "doc_id").join(near, "node"), docs, k)
-    signed = common.written(banded.join(near, "node").join(nodes.select("node", "size"), "node"), "neardup-signed")
+    signed = common.written(nodes.select("node", "size", "values", "bands").join(near, "node"), "neardup-signed")
     # with its bucket's pivot: sequential verification, then the exact one
     x, y = (signed.select(F.col("node").alias(c), F.struct("size", "values").alias(v)) for c, v in (("a", "x"), ("b", "y")))
     alive = common.written(pairs.join(x, "a").join(y, "b").where(_possible("x", "y", numerator, denominator, miss, permutations)).select("a", "b"), "neardup-alive")
