@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,14 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a session without that setting (a local test) gets a folder of its own, which goes when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
-        _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="binfold-")
+        own = tempfile.mkdtemp(prefix="binfold-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_scratch[app] = f"file://{own}"
     return _own_scratch[app]
 
 
