@@ -225,22 +225,23 @@ def count_boxes(hist: Histogram, boxes: Sequence[Sequence[tuple[float, float]]]
     if hist.by:
         raise ValueError("boxes take one histogram, not groups of them")
     spark, names, t = hist.df.sparkSession, AXES[: hist.config.dims], bin_table(BITS)
-    if not isinstance(boxes, DataFrame):
-        rows = [(i, *(float(v) for pair in b for v in pair)) for i, b in enumerate(boxes)]
-        boxes = spark.createDataFrame(rows, "box_id long, " + ", ".join(f"{n}_min double, {n}_max double" for n in names))
-
-    # positions of the first bin at or above min and the last at or below max
-    edges = np.array(t.values)
-
-    def positions(batches):
-        for b in batches:
-            columns = {"box_id": b["box_id"]}
-            for n in names:
-                columns[f"{n}_a"] = np.searchsorted(edges, b[f"{n}_min"].to_numpy(), "left").clip(0, len(edges) - 1)
-                columns[f"{n}_b"] = np.searchsorted(edges, b[f"{n}_max"].to_numpy(), "right") - 1
-            yield b.__class__(columns)
-
-    wanted = boxes.mapInPandas(positions, "box_id long, " + ", ".join(f"{n}_a long, {n}_b long" for n in names))
+    edges = t.values
+    columns = ["box_id", *(f"{n}_{e}" for n in names for e in ("min", "max"))]
+
+    def positions(b: pd.DataFrame) -> pd.DataFrame:
+        """Of each box and axis: the first bin at or above min, the last at or below max."""
+        out = {"box_id": b["box_id"]}
+        for n in names:
+            out[f"{n}_a"] = np.searchsorted(edges, b[f"{n}_min"].to_numpy(float), "left").clip(0, len(edges) - 1)
+            out[f"{n}_b"] = np.searchsorted(edges, b[f"{n}_max"].to_numpy(float), "right") - 1
+        return pd.DataFrame(out)
+
+    schema = "box_id long, " + ", ".join(f"{n}_a long, {n}_b long" for n in names)
+    if isinstance(boxes, DataFrame):
+        wanted = boxes.select(columns).mapInPandas(lambda batches: map(positions, batches), schema)
+    else:
+        given = pd.DataFrame([(i, *(float(v) for pair in b for v in pair)) for i, b in enumerate(boxes)], columns=columns)
+        wanted = spark.createDataFrame(positions(given), schema)
     cells = hist.df.where(" AND ".join(f"kind_{n} = 'fin'" for n in names) + " AND count > 0")
     for n in names:
         cells = cells.withColumn(f"_{n}", bin_info(F.col(f"code_{n}"), BITS)["pos"])
@@ -254,7 +255,7 @@ def count_boxes(hist: Histogram, boxes: Sequence[Sequence[tuple[float, float]]]
     last = (1 << BITS) - 1
     wider = safe.select("box_id", *(e for n in names for e in (F.greatest(F.col(f"{n}_lo") - 1, F.lit(0)).alias(f"{n}_a"), F.least(F.col(f"{n}_hi") + 1, F.lit(last)).alias(f"{n}_b"))))
     total = inside(wider).groupBy("box_id").agg(F.sum("count").alias("total_count"))
-    both = boxes.select("box_id").join(safe, "box_id", "left").join(total, "box_id", "left")
+    both = wanted.select("box_id").join(safe, "box_id", "left").join(total, "box_id", "left")
     out = ["box_id", F.coalesce("safe_count", F.lit(0)).alias("safe_count"), F.coalesce("total_count", F.lit(0)).alias("total_count")]
 
     @F.pandas_udf("double")
