@@ -27,7 +27,8 @@ def bin_info(code: Column, bits: int) -> Column:
         found = {"pos": at, "value": table.values[at], "next": table.next[at], "prev": table.prev[at], "lower": table.lower[at], "upper": table.upper[at]}
         return pd.DataFrame(found, index=codes.index[some]).reindex(codes.index).astype({"pos": "Int64"})
 
-    return info(code)
+    # else a filter on the result would be pushed below the aggregation, and run for each input row
+    return info.asNondeterministic()(code)
 
 
 def order_key(kind: Column, pos: Column, bits: int) -> Column:

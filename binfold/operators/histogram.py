@@ -43,8 +43,8 @@ class Histogram:
 
     def trie_count(self) -> DataFrame:
         """count of the rows that the reference layout counts as observations: finite ones in one dimension, all in more."""
-        rows = self.df.where("kind = 'fin'") if self.config.dims == 1 else self.df
-        return rows.groupBy(*self.by).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("observations"))
+        counted = F.when(F.col("kind") == "fin", F.col("count")) if self.config.dims == 1 else F.col("count")
+        return self.df.groupBy(*self.by).agg(F.coalesce(F.sum(counted), F.lit(0)).alias("observations"))
 
     def specials(self) -> DataFrame:
         """pos_inf, neg_inf, pos_zero, neg_zero, nan: in more dimensions a record counts once for each special axis."""

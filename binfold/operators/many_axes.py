@@ -31,14 +31,15 @@ def boundaries(hist: Histogram) -> DataFrame:
     """
     if not hist.config.queryable:
         raise ValueError(f"{hist.config.name} can be built and merged, but its bins have no values")
-    rows = hist.df.where("kind = 'fin'") if hist.config.dims == 1 else hist.df
-    axes = AXES[: hist.config.dims]
+    rows, axes = hist.df, AXES[: hist.config.dims]
     out = [*hist.by]
     for a in axes:
         kind, code = ("kind", "code") if len(axes) == 1 else (f"kind_{a}", f"code_{a}")
         rows = rows.withColumn(f"_{a}", bin_info(F.col(code), hist.config.bits))
         special = special_value(F.col(kind))
         out += [F.coalesce(special, F.col(f"_{a}.lower")).alias(f"{a}_min"), F.coalesce(special, F.col(f"_{a}.upper")).alias(f"{a}_max")]
+    if hist.config.dims == 1:
+        rows = rows.where("_x.pos IS NOT NULL")
     return rows.select(*out, F.col("count").alias("counts"))
 
 
@@ -197,8 +198,9 @@ def grid(hist: Histogram, axes: Sequence[Axis], max_cells: int = 1_000_000) -> D
         raise ValueError(f"{math.prod(sizes)} cells; max_cells is {max_cells}")
     rows, cell = hist.df, F.lit(0).cast("bigint")
     for name, (parts, zero) in zip(names, models):
+        # keys that can't be null: no test for that is pushed below the aggregation
         look = _lookup(spark, parts, zero, name)
-        rows = rows.join(F.broadcast(look), (F.col(f"kind_{name}") == F.col(f"k_{name}")) & (F.coalesce(F.col(f"code_{name}"), F.lit(-1)) == F.col(f"c_{name}")))
+        rows = rows.join(F.broadcast(look), (F.coalesce(f"kind_{name}", F.lit("")) == F.col(f"k_{name}")) & (F.coalesce(F.col(f"code_{name}"), F.lit(-1)) == F.col(f"c_{name}")))
         cell = cell * len(parts) + F.col(f"part_{name}")
     counts = rows.groupBy(cell.alias("cell")).agg(F.sum("count").alias("count"))
     every = spark.range(math.prod(sizes)).select(F.col("id").alias("cell"))
@@ -242,7 +244,8 @@ def count_boxes(hist: Histogram, boxes: Sequence[Sequence[tuple[float, float]]]
     else:
         given = pd.DataFrame([(i, *(float(v) for pair in b for v in pair)) for i, b in enumerate(boxes)], columns=columns)
         wanted = spark.createDataFrame(positions(given), schema)
-    cells = hist.df.where(" AND ".join(f"kind_{n} = 'fin'" for n in names) + " AND count > 0")
+    # records with a special axis have no position there, and so meet no box
+    cells = hist.df.where("count > 0")
     for n in names:
         cells = cells.withColumn(f"_{n}", bin_info(F.col(f"code_{n}"), BITS)["pos"])
     cells = cells.select(*(F.col(f"_{n}").alias(f"{n}_pos") for n in names), "count").withColumn("bucket", F.shiftright("x_pos", 6))
