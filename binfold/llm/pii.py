@@ -33,7 +33,7 @@ LONG_PHONE = r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{
 HOME_PHONE = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])"
 EXACT_CARD = r"(?<![0-9-])(?:[0-9]{4}[\x20-]){3}[0-9]{4}(?![0-9-])"
 
-OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
+OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 #: Words that name the kind, in the four languages of the corpora.
 WORDS = {
     "email": r"(?i)\b(?:e-?mail|mailto|contact|kontakt|courriel|correo)",

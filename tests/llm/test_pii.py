@@ -68,6 +68,15 @@ def test_against_brute_force(spark):
     assert by[0]["spans"] == by[1]["spans"] == ""
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["a 10.0.0.1 b 127.0.0.1, 192.168.0.1", "0.0.0.0 1.00.2.3 10.020.000.0255", "256.0.0.1 0.0.0.256 0.0.0300.0", "0" * 4000 + ".0.0." + "0" * 4000, "0" * 4000 + "256.0.0.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.scan(docs).join(docs, "doc_id").orderBy("doc_id").collect()
+    check(rows)
+    assert [r["n_ip"] for r in rows] == [3, 3, 0, 1, 0]
+    assert pii.redact(docs.limit(1)).first()["text"] == "a <IP> b <IP>, <IP>"
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check(pii.scan(docs).join(docs, "doc_id").collect())
