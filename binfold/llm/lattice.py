@@ -214,15 +214,16 @@ class Lattices:
         return first, mass[order], begin[order], code[order], base[:-1], size
 
     def learn(self, words: list[str]) -> np.ndarray:
-        """The number of each distinct word."""
+        """The number of each word."""
         known = self.known
-        new = [w for w in words if w not in known]
+        # a word may come twice, from plain texts and from others, but gets one lattice
+        new = list(dict.fromkeys(w for w in words if w not in known))
         if new:
             if len(self.share_of) > CACHE_EDGES:
                 self._clear()
-                known, new = self.known, words
+                known, new = self.known, list(dict.fromkeys(words))
             node, old = self.n_nodes, len(self.share_of)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+            known.update(zip(new, range(len(self.base), len(self.base) + len(new))))
             first, share, prev, code, base, size = self._edges([w.replace(" ", SPACE) for w in new])
             self.n_nodes += len(first) - 1
             if old:

@@ -100,6 +100,18 @@ def test_few_segmentations_come_out_whole():
     assert len(s) == 1 and len(s[0]["edges"]) == 0 and s[0]["log_prob"] == 0
 
 
+def test_words_shared_by_plain_and_odd_texts_keep_their_lattices(monkeypatch):
+    blocks = [["the cat", "a  b the cat", " the cat"], ["some other words", "the cat sat"], [" more of other words", "words the end"]]
+    fresh = [[[own.ids(x["edges"]).tolist() for x in s] for s in lattice.sample(own, list(range(len(b))), b, 2)] for b in blocks for own in [lattice.Lattices(tokenizer(PIECES))]]
+    for edges in (lattice.CACHE_EDGES, 0):  # 0: every block clears the cache
+        monkeypatch.setattr(lattice, "CACHE_EDGES", edges)
+        own = lattice.Lattices(tokenizer(PIECES))
+        for texts, want in zip(blocks, fresh):
+            got = [[own.ids(x["edges"]).tolist() for x in s] for s in lattice.sample(own, list(range(len(texts))), texts, 2)]
+            assert got == want and [[own.decode(x) for x in s] for s in got] == [[t] * 2 for t in texts]
+            assert len(own.known) == len(own.base) == len(own.size)
+
+
 def test_sampling_documents(spark, odd, none, pieces):
     model = tokenizer(PIECES)
     rows = lattice.decode(lattice.encode(odd, model, k=2), model).collect()
