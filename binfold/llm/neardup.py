@@ -21,7 +21,9 @@ So pairs are never rows but for those with a pivot and for links, and no link be
 
 Texts that are null or have no words have an empty set and are linked with nothing. A null
 identifier counts as larger than any other. Rows that repeat an identifier are documents of
-their own. Other columns are ignored by `components` and kept by `keep_one`.
+their own. Other columns are ignored by `components` and kept by `keep_one`, which decides by
+identifier and text: of rows with a component's smallest identifier those with the text of the
+least hash stay, and of a component without identifiers one row.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from binfold.llm import common
@@ -122,8 +124,12 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, permutations: int) -> np.nda
     return out
 
 
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.col(text_col)))
+
+
 def digest(docs: DataFrame, k: int, permutations: int = PERMUTATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set, signature (null for an empty set)."""
+    """doc_id, text_key (a hash of the text), n_shingles, digest of the set, signature (null for an empty set)."""
 
     def work():
         def step(block: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,29 +138,29 @@ def digest(docs: DataFrame, k: int, permutations: int = PERMUTATIONS, id_col: st
             ends = np.cumsum(sizes)
             keys = [hashlib.blake2b(sets[e - n : e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends.tolist(), sizes.tolist())]
             found = [next(values).tobytes() if n else None for n in sizes.tolist()]
-            return pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+            return pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "text_key", "n_shingles", "digest", "signature"])
 
         return step
 
-    return common.map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", work, "doc_id long, n_shingles long, digest binary, signature binary")
+    return common.map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key")), "text", work, "doc_id long, text_key binary, n_shingles long, digest binary, signature binary")
 
 
 def _banded(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(node, digest, doc_id, size, values, bands): each signature as numbers, and a hash of each of its bands."""
+    """(node, digest, doc_id, text_key, size, values, bands): each signature as numbers, and a hash of each of its bands."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            values = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
             h = np.full((batch.num_rows, bands), 7, np.uint64) + np.arange(bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
             with np.errstate(over="ignore"):
                 for i in range(rows):
                     h = _mix(h * _U(5) + values[:, i : bands * rows : rows].astype(np.uint64))
             lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(t)) for x, t in ((values.view(np.int32), pa.int32()), (h.view(np.int64), pa.int64())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], names=["node", "digest", "doc_id", "size", "values", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *lists], names=["node", "digest", "doc_id", "text_key", "size", "values", "bands"])
 
-    return common.arrow_map(nodes.select("node", "digest", "doc_id", "size", "signature"), run, "node long, digest binary, doc_id long, size long, values array<int>, bands array<long>")
+    return common.arrow_map(nodes.select("node", "digest", "doc_id", "text_key", "size", "signature"), run, "node long, digest binary, doc_id long, text_key binary, size long, values array<int>, bands array<long>")
 
 
 def _possible(x: str, y: str, numerator: int, denominator: int, miss: float, permutations: int) -> str:
@@ -288,11 +294,18 @@ def _cross(groups: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFra
 
 def components(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5, miss: float = 1e-6, permutations: int = PERMUTATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest identifier reachable), kept."""
+    full = _rows(docs, k, numerator, denominator, miss, permutations, id_col, text_col)
+    return full.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _rows(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5, miss: float = 1e-6, permutations: int = PERMUTATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id, text_key, n_shingles, component_id, single (it stands for its component, or has no words)."""
     threshold = numerator / denominator
     bands, rows = bands_for(threshold, permutations)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = common.written(digest(docs, k, permutations), "neardup-docs")
-    nodes = known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+    nodes = known.where("digest IS NOT NULL").groupBy("digest").agg(_first_row().alias("row"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+    nodes = nodes.select("digest", "row.doc_id", "row.text_key", "size", "signature")
     nodes = common.written(_banded(nodes.withColumn("node", F.monotonically_increasing_id()), bands, rows), "neardup-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
@@ -317,14 +330,26 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int
     groups = pairs.select(F.col("b").alias("pivot"), F.col("a").alias("node")).union(pairs.select("b", "b").distinct())
     left = common.written(_cross(groups, roots, signed, sets, numerator, denominator, miss, permutations), "neardup-links")
     roots = common.written(connected(links.union(left)), "neardup-roots")
-    rooted = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = rooted.join(least, "root").select("digest", "component_id")
-    full = known.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").withColumn("component_id", F.expr("CASE WHEN digest IS NULL THEN doc_id ELSE component_id END"))
-    return full.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rooted = nodes.select("node", "digest", "doc_id", "text_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(_first_row().alias("top"))
+    of = rooted.join(least, "root").select("digest", F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("top_key"))
+    full = known.select("doc_id", "text_key", "n_shingles", "digest").join(of, "digest", "left").withColumn("component_id", F.expr("CASE WHEN digest IS NULL THEN doc_id ELSE component_id END"))
+    return full.select("doc_id", "text_key", "n_shingles", "component_id", F.expr("digest IS NULL OR (doc_id <=> component_id AND text_key = top_key)").alias("single"))
+
+
+def _first_row() -> Column:
+    """The least identifier's row; a null one comes last, equal ones go by text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of docs less those whose component has a smaller identifier. A row without identifier or words stays."""
-    gone = components(docs, id_col=id_col, text_col=text_col, **parameters).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """One document of each component, with the smallest identifier, and all rows without words. Rows that repeat an identifier and its text go or stay together."""
+    gone = _rows(docs, id_col=id_col, text_col=text_col, **parameters).where("NOT single").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")).distinct()
+    gone = common.written(gone, "neardup-gone")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own_id, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    plain = docs.toDF(*names).withColumn("_key", _text_key(names[docs.columns.index(text_col)]))
+    stay = plain.join(gone, own_id.cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left_anti")
+    # without identifier, copies of a component's one text are left
+    bare = F.coalesce(own_id.cast("long").isNull() & text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return stay.where(~bare).union(stay.where(bare).dropDuplicates(["_key"])).select(names).toDF(*docs.columns)

@@ -350,6 +350,18 @@ def test_components_of_odd_rows(spark, odd, none):
     assert neardup.components(none).count() == 0 == neardup.keep_one(none).count()
 
 
+def test_one_row_of_each_component_stays(spark):
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [
+        (1, text("a")), (2, text("a", 41)), (2, text("b")),  # 2 repeats, and one of its texts is a near copy of 1
+        (3, text("c")), (3, text("c", 41)), (3, text("c").upper()),  # near copies share an identifier
+        (None, text("d")), (None, text("d")), (None, text("d", 41)),  # no identifier in the whole component
+        (None, text("a")), (None, text("e")), (None, " "), (None, " "), (None, None), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], word_set(r["text"], 5) and r["text"].lower()[0]) for r in neardup.keep_one(docs).collect())
+    assert got == {(1, "a"): 1, (2, "b"): 1, (3, "c"): 1, (None, "d"): 1, (None, "e"): 1, (None, frozenset()): 3, (5, frozenset()): 2}
+
+
 def test_a_chain_has_one_root(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.connected(links).collect()}
