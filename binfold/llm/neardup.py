@@ -174,7 +174,7 @@ def _possible(x: str, y: str, numerator: int, denominator: int, miss: float, per
 
 
 def _sets(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(node, shingles): the full sets of the nodes in near (node, digest, doc_id), from the texts, in a written table."""
+    """(node, shingles): the full sets of the nodes in near (node, digest, doc_id, text_key), from the texts, in a written table."""
 
     def full(batches):
         for block in common.blocks(batches, "text"):
@@ -185,7 +185,9 @@ def _sets(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             keep = [i for i, x in enumerate(same) if x]
             yield pa.RecordBatch.from_arrays([block.column(1).take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.binary())], names=["node", "shingles"])
 
-    text = docs.join(near, docs["doc_id"].eqNullSafe(near["doc_id"])).select("text", "node", "digest")
+    # by the text too: an identifier, or its lack, may be common to many
+    docs = docs.withColumn("_key", _text_key("text"))
+    text = docs.join(near, docs["doc_id"].eqNullSafe(near["doc_id"]) & (docs["_key"] == near["text_key"])).select("text", "node", "digest")
     # an identifier may repeat with the same text
     return common.written(common.arrow_map(text, full, "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
 
@@ -313,7 +315,7 @@ def _rows(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5,
     buckets = common.written(buckets.join(shared.select("bucket", "pivot"), "bucket"), "neardup-buckets")
     pairs = common.written(buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "neardup-pairs")
     near = buckets.select("node").distinct()
-    sets = _sets(nodes.select("node", "digest", "doc_id").join(near, "node"), docs, k)
+    sets = _sets(nodes.select("node", "digest", "doc_id", "text_key").join(near, "node"), docs, k)
     signed = common.written(nodes.select("node", "size", "values", "bands").join(near, "node"), "neardup-signed")
     # with its bucket's pivot: sequential verification, then the exact one
     x, y = (signed.select(F.col("node").alias(c), F.struct("size", "values").alias(v)) for c, v in (("a", "x"), ("b", "y")))

@@ -362,6 +362,21 @@ def test_one_row_of_each_component_stays(spark):
     assert got == {(1, "a"): 1, (2, "b"): 1, (3, "c"): 1, (None, "d"): 1, (None, "e"): 1, (None, frozenset()): 3, (5, frozenset()): 2}
 
 
+def test_a_node_meets_its_own_text_only(spark, monkeypatch):
+    rows = [(i % 2 or None, " ".join(f"w{i // 2}x{j}" for j in range(30 + i % 2 * 2))) for i in range(40)]
+    docs, met, plain = spark.createDataFrame(rows, "doc_id long, text string"), [], neardup.common.arrow_map
+
+    def counted(df, run, schema):
+        if schema == "node long, shingles binary":
+            met.append(df.count())
+        return plain(df, run, schema)
+
+    monkeypatch.setattr(neardup.common, "arrow_map", counted)
+    got = neardup.components(docs).collect()
+    assert met == [40]
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == brute_components(rows, 5, 4, 5)
+
+
 def test_a_chain_has_one_root(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.connected(links).collect()}
