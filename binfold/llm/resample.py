@@ -114,9 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
 
 def _weights(block: pa.RecordBatch, at: int, ratio: Ratio, known: dict) -> np.ndarray:
     grams, per = ngrams(block.column(at), known)
-    sums = np.concatenate([[0.0], np.cumsum(ratio.log[grams])])
-    ends = np.cumsum(per)
-    return sums[ends] - sums[ends - per]
+    # each document's sum by itself, so that it doesn't depend on the block
+    return np.bincount(np.repeat(np.arange(len(per)), per), ratio.log[grams], len(per))
 
 
 def _gumbel(seed: pa.Array) -> np.ndarray:

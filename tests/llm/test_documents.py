@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from binfold.llm import jpeg, lattice, mergecount, neardup, packing, sstable, toxicity, wordcache
+from binfold.llm import jpeg, lattice, mergecount, neardup, packing, resample, sstable, toxicity, wordcache
 from binfold.llm.queries import tokenizer
 from tests.llm.conftest import ROWS
 
@@ -391,6 +391,18 @@ def test_the_posterior_s_bounds():
         assert 0 < least < 0.85 * n and (rng.binomial(n, 0.85, 20_000) < least).mean() < 1e-3
 
 
+# op 5
+
+
+def test_a_weight_does_not_depend_on_its_block():
+    rng = np.random.default_rng(5)
+    ratio = resample.Ratio(rng.integers(0, 99, resample.BUCKETS), rng.integers(1, 999, resample.BUCKETS), 0.5)
+    texts = [None, "", *(" ".join(rng.choice(["ab", "A9", "x-y", "$$", "Cd.", "e_f!"], n)) for n in rng.integers(1, 300, 200)), ""]
+    block = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    whole = resample._weights(block, 0, ratio, {})
+    assert whole.tolist() == [resample._weights(block.slice(i, 1), 0, ratio, {})[0] for i in range(len(texts))]
+
+
 # op 6
 
 
