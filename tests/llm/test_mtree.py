@@ -52,3 +52,53 @@ def test_far_pages_are_not_searched():
         if kids is None:
             d = np.sqrt(((aug[tree["rows"][node]] - aug[tree["object"][node]]) ** 2).sum(axis=1))
             assert d.max() <= tree["radius"][node] + 1e-9
+
+
+def test_repeated_identifiers_with_other_vectors(spark):
+    """An identifier's rows are its own, whatever their vectors; its answers are the best of all its vectors'."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 40, [float(v) for v in rng.normal(size=4)]) for i in range(400)] + [(i, [2.0, 2.0, 2.0, 2.0]) for i in range(40)] * 2
+    v = mtree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    index = mtree.build_index(v, pivots=6, page=32)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.search(index, v.where("vec_id % 5 = 0")).collect()}
+    x = [(i, np.floor(np.array(w) * 256).astype(int)) for i, w in rows]
+    want = set()
+    for i in range(0, 40, 5):
+        vectors = {tuple(w.tolist()) for j, w in x if j == i}
+        best = sorted((-int(w @ np.array(q)), j) for q in vectors for j, w in x if j != i)[:5]
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    assert got == want
+
+
+def test_lengths_that_differ_and_large_components(spark):
+    """A shorter vector goes on with zeros; sums beyond 53 bits stay exact."""
+    rows = [(i, [float((i * 7919) % 1000) * 1e7 + j for j in range(2 + i % 3)]) for i in range(60)]
+    v = mtree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    index = mtree.build_index(v, pivots=3, page=16)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.search(index, v.where("vec_id % 20 = 0")).collect()}
+    x = {i: [int(np.floor(256 * c)) for c in w] for i, w in rows}
+    score = lambda a, b: min(max(sum(p * q for p, q in zip(x[a], x[b])), -(1 << 63)), (1 << 63) - 1)
+    want = set()
+    for i in range(0, 60, 20):
+        best = sorted((-score(i, j), j) for j in x if j != i)[:5]
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    assert got == want
+
+
+def test_copies_beyond_the_smallest_identifiers_are_indexed_but_idle(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(500)] + [(500 + i, [0.1 * i, 1.0]) for i in range(50)]
+    v = mtree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).coalesce(1)
+    index = mtree.build_index(v, pivots=2, page=40)
+    pages = index.pages.collect()
+    assert sum(len(r["ids"]) for r in pages) == 550 and any(r["idle"] for r in pages)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.search(index, v.where("vec_id % 50 = 0")).collect()}
+    assert got == brute(rows, 50)
+
+
+def test_one_identifier_repeated_over_many_pages(spark):
+    """Pages of one identifier's copies don't make the next identifiers' ones idle."""
+    rows = [(3, [1.0, 0.0])] * 800 + [(i, [1.0, 0.0]) for i in (10, 11, 12, 13, 14, 15)]
+    v = mtree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).coalesce(1)
+    index = mtree.build_index(v, pivots=1, page=8)
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in mtree.search(index, v.where("vec_id = 3")).orderBy("rank").collect()]
+    assert got == [(3, i + 1, 10 + i) for i in range(5)]
