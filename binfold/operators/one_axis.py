@@ -41,39 +41,56 @@ def _running(hist: Histogram) -> DataFrame:
 def percentile(hist: Histogram, percents: Sequence[float]) -> DataFrame:
     """percentile, value, lower, upper: the bin where the running sum reaches the rank, and the place in it by linear interpolation; bounds are native.
 
-    A rank of 0 or less, one beyond all counts and an empty histogram give -inf.
+    A rank of 0 or less, one beyond all counts and an empty histogram give -inf. Each rank
+    is reached in one row, which alone emits it; a group's last row emits those that none reaches.
     """
     last = (1 << hist.config.bits) - 1
-    p = F.explode(F.array(*(F.lit(float(x)) for x in percents)))
-    rows = _running(hist).withColumn("percentile", p).withColumn("rank", F.col("percentile") / 100 * F.col("total"))
-    reached = F.when((F.col("rank") > 0) & (F.col("cum") >= F.col("rank")), F.struct("ord", "kind", "pos", "value", "next", "lower", "upper", "count", "cum", "rank"))
-    found = rows.groupBy(*hist.by, "percentile").agg(F.min(reached).alias("f"))
-    if not hist.by:
-        wanted = hist.df.sparkSession.range(1).select(p.alias("percentile"))
-        found = wanted.join(found, "percentile", "left")
-    f = lambda name: F.col(f"f.{name}")
-    inside = f("value") + (f("rank") - (f("cum") - f("count"))) / f("count") * (f("next") - f("value"))
-    value = F.when(f("ord").isNull(), _NINF).when((f("kind") != "fin") | (f("pos") == last), f("value")).otherwise(inside)
-    bound = lambda name: F.when(f("ord").isNull(), _NINF).otherwise(f(name))
-    return found.select(*hist.by, "percentile", value.alias("value"), bound("lower").alias("lower"), bound("upper").alias("upper"))
+    asked = F.array(*(F.lit(float(x)) for x in dict.fromkeys(percents)))
+    cum, count, total = F.col("cum"), F.col("count"), F.col("total")
+
+    def mine(p: Column) -> Column:
+        rank = p / 100 * total
+        return ((rank > 0) & (rank <= cum) & (rank > cum - count)) | ((cum == total) & ((rank <= 0) | (rank > total)))
+
+    rows = _running(hist).withColumn("percentile", F.explode(F.filter(asked, mine))).withColumn("rank", F.col("percentile") / 100 * total)
+    rank, start = F.col("rank"), F.col("value")
+    none = (rank <= 0) | (rank > total)
+    inside = start + (rank - (cum - count)) / count * (F.col("next") - start)
+    value = F.when(none, _NINF).when((F.col("kind") != "fin") | (F.col("pos") == last), start).otherwise(inside)
+    found = rows.select(*hist.by, "percentile", value.alias("value"), *(F.when(none, _NINF).otherwise(F.col(b)).alias(b) for b in ("lower", "upper")))
+    if hist.by:
+        return found
+    wanted = hist.df.sparkSession.range(1).select(F.explode(asked).alias("percentile"))
+    return wanted.join(found, "percentile", "left").select("percentile", *(F.coalesce(c, F.lit(_NINF)).alias(c) for c in ("value", "lower", "upper")))
 
 
 def cdf(hist: Histogram, values: Sequence[float], interpolate: bool = False) -> DataFrame:
     """at, cdf: the share of counts up to each value. A bin that the value is inside of counts in proportion, or not at all.
 
-    +0 doesn't count at -0.0. An empty histogram gives 0.
+    +0 doesn't count at -0.0. An empty histogram gives 0. The last row that begins at or
+    below a value emits it, or the first row if none does.
     """
-    # a position for each value, as -0.0 and 0.0 are one value to Spark
-    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(v)).alias("at"), F.lit(str(float(v)) == "-0.0").alias("minus")) for i, v in enumerate(values))))
-    rows = ordered(hist).withColumn("q", asked)
-    v, k = F.col("q.at"), F.col("kind")
-    part = (v - F.col("value")) / (F.col("next") - F.col("value")) * F.col("count")
-    whole = F.when(v == _PINF, F.lit(True)).when(v == _NINF, k == "ninf").when(k == "fin", v >= F.col("next")).when(k == "ninf", F.lit(True)).when(k == "nzero", v >= 0).when(k == "pzero", (v > 0) | ((v == 0) & ~F.col("q.minus"))).otherwise(F.lit(False))
-    partly = F.lit(interpolate) & (k == "fin") & (v >= F.col("value")) & (v < F.col("next")) & (v != _NINF)
-    total = F.sum("count")
-    got = rows.groupBy(*hist.by, "q").agg(((F.coalesce(F.sum(F.when(whole, F.col("count"))), F.lit(0)).cast("double") + F.coalesce(F.sum(F.when(partly & ~whole, part)), F.lit(0.0))) / total).alias("cdf"))
+    # a number for each value, as -0.0 and 0.0 are one value to Spark
+    asked = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(v)).alias("at"), F.lit(str(float(v)) == "-0.0").alias("minus")) for i, v in enumerate(values)))
+    by_order = Window.partitionBy(*hist.by).orderBy("ord")
+    zero = F.lit((4 << hist.config.bits - 1) - 1)  # the place of +0
+    rows = _running(hist).withColumns({"after": F.lead("value").over(by_order), "after_ord": F.lead("ord").over(by_order), "first": F.row_number().over(by_order) == 1})
+
+    def begun(start: Column, place: Column, q: Column) -> Column:
+        """What begins at +0 hasn't begun at -0.0."""
+        return (q["at"] > start) | ((q["at"] == start) & ~((start == 0) & q["minus"] & (place >= zero)))
+
+    def mine(q: Column) -> Column:
+        own = begun(F.col("value"), F.col("ord"), q)
+        return (own | F.col("first")) & (F.col("after_ord").isNull() | ~begun(F.col("after"), F.col("after_ord"), q))
+
+    emitted = rows.withColumn("q", F.explode(F.filter(asked, mine)))
+    v, start, end, count = F.col("q.at"), F.col("value"), F.col("next"), F.col("count")
+    part = F.when(F.lit(interpolate), (v - start) / (end - start) * count).otherwise(0.0)
+    own = F.when(~begun(start, F.col("ord"), F.col("q")), 0.0).when((F.col("kind") != "fin") | (v >= end), count.cast("double")).otherwise(part)
+    got = emitted.select(*hist.by, "q", (((F.col("cum") - count).cast("double") + own) / F.col("total")).alias("cdf"))
     if not hist.by:
-        got = hist.df.sparkSession.range(1).select(asked.alias("q")).join(got, "q", "left")
+        got = hist.df.sparkSession.range(1).select(F.explode(asked).alias("q")).join(got, "q", "left")
     return got.select(*hist.by, F.col("q.at").alias("at"), F.coalesce("cdf", F.lit(0.0)).alias("cdf"))
 
 

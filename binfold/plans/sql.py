@@ -127,36 +127,38 @@ def boundaries(source: str, columns: Sequence[str], layout: str) -> str:
     return f"{head} SELECT {out}, count AS counts FROM hist {joins}"
 
 
-def _axis(name: str, spec: tuple, position: int) -> str:
-    """CTEs up to part_<name> (id, ends, flags) and look_<name> (kind, code, id) for (min, max, steps, scaling), ends finite or None for the data's extent."""
+def _axis(name: str, spec: tuple) -> str:
+    """CTEs up to part_<name> (id, ends, flags) and look_<name> (kind, code, id) for (min, max, steps, scaling), ends finite or None for the data's extent.
+
+    An axis is a list of atoms in ascending order: -inf, bins, zero, +inf. Each has a label,
+    atoms of one label are a partition; zero takes that of its neighbours, if they have one for it.
+    """
     low, high, steps, scaling = spec
-    ends = f"""SELECT CAST({f"(SELECT lo_{name} FROM extent)" if low is None else low} AS DOUBLE) AS a, CAST({f"(SELECT hi_{name} FROM extent)" if high is None else high} AS DOUBLE) AS b"""
-    share = "ln(lo / l) / ln(h / l)" if scaling == "mult" else "(lo - l) / (h - l)"
-    extra = []
-    if low is None:
-        extra.append("SELECT -1 AS g, CAST('-inf' AS DOUBLE) AS s, CAST('-inf' AS DOUBLE) AS e, 'neg_inf' AS k, true AS si, true AS ei, false AS edge, CAST(NULL AS DOUBLE) AS f")
-    if high is None:
-        extra.append(f"SELECT {2 * steps + 9}, CAST('inf' AS DOUBLE), CAST('inf' AS DOUBLE), 'pos_inf', true, true, false, NULL")
-    more = "".join(f" UNION ALL {x}" for x in extra)
+    low_end = f"(SELECT lo_{name} FROM extent)" if low is None else f"CAST({low} AS DOUBLE)"
+    high_end = f"(SELECT hi_{name} FROM extent)" if high is None else f"CAST({high} AS DOUBLE)"
+    measure = "ln(lo / span_lo) / ln(span_hi / span_lo)" if scaling == "mult" else "(lo - span_lo) / (span_hi - span_lo)"
+    infinite = [("-1.0", "-inf", "ninf", "neg_inf", low), ("10000.0", "inf", "pinf", "pos_inf", high)]
+    others = "".join(f" UNION ALL SELECT {at}, 'i{k}', '{kind}', -1, CAST('{v}' AS DOUBLE), CAST('{v}' AS DOUBLE), true, true, '{k}'" for at, v, kind, k, end in infinite if end is None)
     return f"""
-r_{name} AS ({ends}),
-s_{name} AS (SELECT tab.* FROM tab, r_{name} WHERE (hi > a OR hi = a AND value < 0) AND (lo < b OR lo = b AND value >= 0)),
-w_{name} AS (SELECT s.*, (SELECT min(pos) FROM s_{name}) AS p0, (SELECT max(pos) FROM s_{name}) AS p1, lo >= a AND hi <= b AS inner_ FROM s_{name} s, r_{name}),
-c_{name} AS (SELECT *, CASE WHEN pos = p0 AND NOT inner_ THEN 'l' WHEN pos = p1 AND NOT inner_ THEN 'h' ELSE 'i' END AS role FROM w_{name}),
-i_{name} AS (SELECT min(lo) AS l, max(hi) AS h, count(*) AS n FROM c_{name} WHERE role = 'i'),
-g_{name} AS (SELECT code, value, pos, lo, hi, role, CASE role WHEN 'l' THEN 0 WHEN 'h' THEN {steps + 3} ELSE 1 + CASE WHEN {steps} <= 1 OR n <= 1 OR NOT h > l THEN 0 ELSE CAST(greatest(least(floor({share} * CAST({steps} AS DOUBLE)), {steps} - 1), 0) AS BIGINT) END END AS g FROM c_{name}, i_{name}),
-f_{name} AS (SELECT 2 * g AS g, min(lo) AS s, max(hi) AS e, 'finite' AS k, min_by(value, pos) >= 0 AS si, max_by(value, pos) < 0 AS ei, role <> 'i' AS edge, min_by(value, pos) AS f FROM g_{name} GROUP BY g, role),
-z_{name} AS (SELECT CASE WHEN NOT (SELECT a <= 0 AND b >= 0 FROM r_{name}) THEN NULL ELSE coalesce((SELECT min(g) FROM f_{name} WHERE s = 0), (SELECT min(g) FROM f_{name} WHERE (s < 0 OR s = 0 AND si) AND (e > 0 OR e = 0 AND ei)), (SELECT min(g) FROM f_{name} WHERE s >= 0) - 1, {2 * steps + 8}) END AS g),
-u_{name} AS (SELECT * FROM f_{name}{more} UNION ALL SELECT g, 0.0, 0.0, 'finite', true, true, false, NULL FROM z_{name} WHERE g IS NOT NULL AND g NOT IN (SELECT g FROM f_{name})),
-part_{name} AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS id FROM u_{name}),
-look_{name} AS (SELECT 'fin' AS kind, code, id FROM g_{name} JOIN part_{name} ON part_{name}.g = 2 * g_{name}.g UNION ALL SELECT 'zero', -1, id FROM part_{name} JOIN z_{name} USING (g) UNION ALL SELECT CASE k WHEN 'neg_inf' THEN 'ninf' ELSE 'pinf' END, -1, id FROM part_{name} WHERE k <> 'finite')"""
+d_{name} AS (SELECT {low_end} AS a, {high_end} AS b),
+touch_{name} AS (SELECT pos, code, value, lo, hi, lo >= a AND hi <= b AS whole FROM tab, d_{name} WHERE CASE WHEN value < 0 THEN hi >= a AND lo < b ELSE hi > a AND lo <= b END),
+span_{name} AS (SELECT min(lo) AS span_lo, max(hi) AS span_hi, count(*) AS bins FROM touch_{name} WHERE whole),
+label_{name} AS (SELECT *, CASE WHEN NOT whole THEN 'edge' || pos WHEN bins = 1 OR {steps} = 1 THEN 's0' ELSE 's' || CAST(greatest(0, least({steps} - 1, floor({measure} * CAST({steps} AS DOUBLE)))) AS BIGINT) END AS label FROM touch_{name}, span_{name}),
+cut_{name} AS (SELECT label, min(pos) AS p, min(lo) AS s, max(hi) AS e, arg_min(value, pos) >= 0 AS si, arg_max(value, pos) < 0 AS ei FROM label_{name} GROUP BY label),
+home_{name} AS (SELECT label FROM cut_{name} WHERE s = 0 OR (s < 0 AND (e > 0 OR e = 0 AND ei)) ORDER BY s <> 0, p LIMIT 1),
+zero_{name} AS (SELECT coalesce((SELECT label FROM home_{name}), 'zero') AS label FROM d_{name} WHERE a <= 0 AND b >= 0),
+atom_{name}(place, label, kind, code, s, e, si, ei, k) AS (SELECT CAST(pos AS DOUBLE), label, 'fin', code, lo, hi, value >= 0, value < 0, 'finite' FROM label_{name}
+  UNION ALL SELECT 2047.5, label, 'zero', -1, 0.0, 0.0, true, true, 'finite' FROM zero_{name}{others}),
+part_{name} AS (SELECT row_number() OVER (ORDER BY place) - 1 AS id, * FROM (SELECT label, min(place) FILTER (kind <> 'zero' OR label = 'zero') AS place, coalesce(min(s) FILTER (kind <> 'zero'), 0.0) AS s, coalesce(max(e) FILTER (kind <> 'zero'), 0.0) AS e,
+  coalesce(arg_min(si, place) FILTER (kind <> 'zero'), true) AS si, coalesce(arg_max(ei, place) FILTER (kind <> 'zero'), true) AS ei, min(k) AS k, label LIKE 'edge%' AS edge FROM atom_{name} GROUP BY label)),
+look_{name} AS (SELECT kind, code, id FROM atom_{name} JOIN part_{name} USING (label))"""
 
 
 def grid(source: str, columns: Sequence[str], layout: str, axes: Sequence[tuple]) -> str:
     names = AXES[: len(columns)]
     extent = ", ".join(f"{f}(CASE kind_{a} WHEN 'zero' THEN 0.0 ELSE t{a}.value END) AS {g}_{a}" for a in names for f, g in (("min", "lo"), ("max", "hi")))
     joins = " ".join(f"LEFT JOIN tab t{a} ON t{a}.code = code_{a}" for a in names)
-    parts = ",".join(_axis(a, s, i) for i, (a, s) in enumerate(zip(names, axes)))
+    parts = ",".join(_axis(a, s) for a, s in zip(names, axes))
     ids = ", ".join(f"l{a}.id AS i_{a}" for a in names)
     looks = " ".join(f"JOIN look_{a} l{a} ON l{a}.kind = kind_{a} AND l{a}.code = coalesce(code_{a}, -1)" for a in names)
     cells = ", ".join(f"part_{a} p{a}" for a in names)
