@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import math
 import shutil
 import tempfile
 import uuid
@@ -11,7 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker looks at together.
 BLOCK_BYTES = 2 << 20
@@ -29,11 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session without that setting (a local test) gets a folder of its own, which goes when the driver ends.
+    Only a local session without that setting (a test) gets a folder of its own, which goes when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("executors on other machines need a folder that all share: set spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         own = tempfile.mkdtemp(prefix="binfold-")
@@ -51,7 +56,56 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes written tables whose readers have all been written themselves."""
+    for t in tables:
+        place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files behind finished steps: it does when the driver collects their handles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Rows of one key that a task may well take, however small the table; the same for rows of a few numbers.
+FEW, FEW_THIN = 256, 10_000
+
+
+def hot_keys(df: DataFrame, key: str, few: int = FEW) -> list[tuple]:
+    """(key, parts) of the keys that have more rows than a task's even share: as many parts as shares. At most a row for each partition of a shuffle.
+
+    df may have a column n: the number of rows that it stands for.
+    """
+    n, seen = parallelism(df.sparkSession), Observation()
+    rows = F.sum("n") if "n" in df.columns else F.count("*")
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(rows.alias("n")).observe(seen, F.sum("n").alias("rows"))
+    top = counts.orderBy(F.desc("n")).limit(n).collect()
+    share = max(few, (seen.get["rows"] or 0) / n)
+    return [(r[key], math.ceil(r["n"] / share)) for r in top if r["n"] > share]
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, hot: list[tuple], how: str = "inner") -> DataFrame:
+    """big.join(small, key), where small has few rows for a key and big may have many: the rows of hot_keys() go to several tasks.
+
+    Rows whose key is null match none, and in a left join are spread too.
+    """
+    if not hot and how != "left":
+        return big.join(small, key, how)
+    known = big.sparkSession.createDataFrame(hot, f"{key} {dict(big.dtypes)[key]}, _parts int")  # a row for each partition at most
+    parts = F.coalesce("_parts", F.lit(1))
+    by_row: Column = F.pmod(F.xxhash64(*(c for c in big.columns if c != key)), parts)
+    if how == "left":
+        by_row = F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(*big.columns), F.lit(parallelism(big.sparkSession)))).otherwise(by_row)
+    many = big.join(F.broadcast(known), key, "left").withColumn("_part", by_row.cast("int")).drop("_parts")
+    few = small.join(F.broadcast(known), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return many.join(few, [key, "_part"], how).drop("_part")
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -13,17 +13,20 @@ threshold, and documents that links connect form a component.
    time: under a uniform prior the similarity's posterior after m of n matches is Beta(m + 1,
    n - m + 1), and a pair is given up as soon as the posterior probability that it reaches the
    threshold falls below `miss`. Survivors are confirmed on the full sets, recomputed from the texts.
-4. Links give components. Where a pivot's nodes are still in several, the nodes outside the
-   largest one are verified against all others that share a bucket with them, block by block;
-   pairs within a component need no test.
+4. Links give components. Only buckets whose nodes are still in several go on, with their
+   pivot's other ones. The nodes outside a pivot's largest component are verified against all
+   others that share a bucket with them, block by block; pairs within a component need no test.
 
 So pairs are never rows but for those with a pivot and for links, and no link between components is left out.
+A key that many rows share (a pivot, a bucket, a text, a component) is dealt to several tasks.
+Tables are removed as soon as what follows from them is written.
 
 Texts that are null or have no words have an empty set and are linked with nothing. A null
 identifier counts as larger than any other. Rows that repeat an identifier are documents of
 their own. Other columns are ignored by `components` and kept by `keep_one`, which decides by
 identifier and text: of rows with a component's smallest identifier those with the text of the
-least hash stay, and of a component without identifiers one row.
+least hash stay, and of a component without identifiers one row. A text of any length is
+one set; a block holds one long text at least. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ from binfold.llm.common import ragged
 PERMUTATIONS = 128
 BATCH = 32
 #: Nodes and bytes of a block at most, or about.
-BLOCK_NODES, BLOCK_BYTES = 256, 2 << 20
+BLOCK_NODES, BLOCK_BYTES = 1024, 8 << 20
 _U = np.uint64
 
 
@@ -173,7 +176,12 @@ def _possible(x: str, y: str, numerator: int, denominator: int, miss: float, per
     return " AND ".join(tests)
 
 
-def _sets(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _row_key() -> Column:
+    """A text's row by text and identifier, which may be null."""
+    return F.concat("text_key", F.coalesce(F.col("doc_id").cast("string").cast("binary"), F.lit(b"")))
+
+
+def _sets(near: DataFrame, known: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, shingles): the full sets of the nodes in near (node, digest, doc_id, text_key), from the texts, in a written table."""
 
     def full(batches):
@@ -186,8 +194,10 @@ def _sets(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column(1).take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.binary())], names=["node", "shingles"])
 
     # by the text too: an identifier, or its lack, may be common to many
-    docs = docs.withColumn("_key", _text_key("text"))
-    text = docs.join(near, docs["doc_id"].eqNullSafe(near["doc_id"]) & (docs["_key"] == near["text_key"])).select("text", "node", "digest")
+    rows = docs.withColumn("text_key", _text_key("text")).select(_row_key().alias("row_key"), "text")
+    wanted = near.select(_row_key().alias("row_key"), "node", "digest")
+    hot = common.hot_keys(known.select(_row_key().alias("row_key")), "row_key")
+    text = common.spread_join(rows, wanted, "row_key", hot).select("text", "node", "digest")
     # an identifier may repeat with the same text
     return common.written(common.arrow_map(text, full, "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
 
@@ -200,8 +210,8 @@ def _similar(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) ->
     return denominator * both >= numerator * (len(x) + len(y) - both)
 
 
-def _exact(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _exact(pairs: DataFrame, sets: DataFrame, hot: list[tuple], numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. hot: the b that many have."""
 
     def confirm(batches):
         for block in common.blocks(batches, "x"):
@@ -211,7 +221,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([block.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    both = common.spread_join(pairs.join(sets.toDF("a", "x"), "a"), sets.toDF("b", "y"), "b", hot).select("a", "b", "x", "y")
     return common.arrow_map(both, confirm, "a long, b long")
 
 
@@ -221,54 +231,84 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
     Large-star and small-star in turn, each a group's minimum and a join, until the links stand still.
     """
     now = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
-    seen = None
+    seen, n = None, now.count()
+
+    def hot(rows: DataFrame) -> list[tuple]:
+        return common.hot_keys(rows, "u", common.FEW_THIN) if 2 * n > common.FEW_THIN else []
+
     while True:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # each larger neighbour goes to the least one
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        larger = both.where("v > u")
+        large = common.spread_join(larger, least, "u", hot(larger)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
+        small = common.spread_join(large, least, "u", hot(large)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
         watch = Observation()
-        now = common.written(small.distinct().observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+        old, now = now, common.written(small.distinct().observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+        common.drop(old)
         if watch.get == seen:
             break
-        seen = watch.get
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
+        seen, n = watch.get, watch.get["n"]
+    out = common.written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct()), name)
+    common.drop(now)
+    return out
 
 
-def _cross(groups: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, numerator: int, denominator: int, miss: float, permutations: int) -> DataFrame:
-    """Links (a, b) between components inside a pivot's group (pivot, node): as many as connect what links connect.
+def _cross(buckets: DataFrame, hot: list[tuple], roots: DataFrame, signed: DataFrame, sets: DataFrame, numerator: int, denominator: int, miss: float, permutations: int) -> DataFrame:
+    """Links (a, b) between components inside the buckets (node, band, bucket, pivot; hot: those of many nodes): as many as connect what links connect.
 
-    The nodes outside a group's largest component meet all its nodes, in blocks: a row holds two
-    blocks, and only links leave it. A pair counts if it shares a band, its sizes allow the
-    threshold, no batch of signatures rules it out and the full sets confirm it.
+    A pivot's nodes are cut into blocks, those of its largest component apart from the others.
+    A block of the others meets itself and every other block once, and only links leave a
+    meeting. A pair counts with the pivot of the first band that it shares, if its sizes allow
+    the threshold, no batch of signatures rules it out and the full sets confirm it.
     """
-    full = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = full.groupBy("pivot", "root").agg(F.count("*").alias("n"))
-    tops = sizes.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("pivot", F.col("top.root").alias("top"))
-    mixed = full.join(tops, "pivot").join(signed, "node").join(sets, "node")
-    room = mixed.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.length("shingles") + 1024) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    mixed = common.written(mixed.join(room, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks"), "neardup-mixed")
-    row = F.collect_list(F.struct("node", "root", "size", "values", "bands", "shingles"))
-    rows = mixed.groupBy("pivot", "block").agg(row.alias("y")).drop("block")
-    few = mixed.where("root != top").groupBy("pivot", "block").agg(row.alias("x")).drop("block")
+    full = common.written(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
+    several = full.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+    own = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("band") % 63)).alias("own")
+    groups = common.written(common.spread_join(full, several, "bucket", hot).groupBy("pivot", "node", "root").agg(own), "neardup-groups")
+    common.drop(full)
+    sizes = groups.groupBy("pivot", "root").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).select("pivot", F.col("top.root").alias("top"), F.col("top.n").alias("in_top"), (F.col("all") - F.col("top.n")).alias("others"))
+    tops = common.written(tops, "neardup-tops")
+    heavy = sets.join(groups.select("node").distinct(), "node").agg(F.avg(F.length("shingles"))).first()[0] or 0
+    most = max(1, min(BLOCK_NODES, int(BLOCK_BYTES / (heavy + 1024))))
+    # blocks from 1 on hold a largest component's nodes, those from -1 down the others
+    hot = common.hot_keys(tops.select("pivot", (F.col("in_top") + F.col("others")).alias("n")), "pivot")
+    placed = common.spread_join(groups, tops, "pivot", hot).withColumn("block", F.expr(f"CAST(CASE WHEN root = top THEN 1 + pmod(xxhash64(node), ceil(in_top / {most})) ELSE -1 - pmod(xxhash64(node), ceil(others / {most})) END AS INT)"))
+    mixed = placed.select("pivot", "block", "node", "root", "own").join(signed, "node").join(sets, "node")
+    lists = mixed.groupBy("pivot", "block").agg(F.collect_list(F.struct("node", "root", "size", "own", "values", "bands", "shingles")).alias("list"))
+    blocks = common.written(lists, "neardup-blocks")
     steps = least_matches(numerator / denominator, miss, permutations)
+    held = blocks.select("pivot", "block")
+    # (pivot, x, y): rows without lists, at most the number of blocks for each block of others
+    meetings = held.where("block < 0").toDF("pivot", "x").join(held.toDF("pivot", "y"), "pivot").where("y > 0 OR y <= x")
+    common.drop(groups, tops)
+    both = meetings.repartition(common.parallelism(buckets.sparkSession)).join(blocks.select("pivot", F.col("block").alias("x"), F.col("list").alias("xs")), ["pivot", "x"])
+    # a block that meets itself is sent once
+    other = blocks.select(F.col("pivot").alias("p"), F.col("block").alias("z"), F.col("list").alias("ys"))
+    alone, two = both.where("x = y").select("xs", F.lit(None).cast(dict(blocks.dtypes)["list"]).alias("ys")), both.where("x != y").join(other, (F.col("pivot") == F.col("p")) & (F.col("y") == F.col("z"))).select("xs", "ys")
 
     def columns(block: pa.StructArray) -> tuple:
-        node, root, size, values, bands, found = (pc.struct_field(block, c) for c in ("node", "root", "size", "values", "bands", "shingles"))
+        node, root, size, own, values, bands, found = (pc.struct_field(block, c) for c in ("node", "root", "size", "own", "values", "bands", "shingles"))
         wide = (x.flatten().to_numpy().reshape(len(block), -1) for x in (values, bands))
-        return (*(x.to_numpy() for x in (node, root, size)), *wide, [np.frombuffer(x, np.uint64) for x in found.to_pylist()])
+        return (*(x.to_numpy() for x in (node, root, size, own)), *wide, [np.frombuffer(x, np.uint64) for x in found.to_pylist()])
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                (xn, xr, xz, xv, xb, a), (yn, yr, yz, yv, yb, b) = (columns(batch.column(c)[i].values) for c in (0, 1))
+                itself = not batch.column(1)[i].is_valid
+                xn, xr, xz, xo, xv, xb, a = columns(batch.column(0)[i].values)
+                yn, yr, yz, _, yv, yb, b = (xn, xr, xz, xo, xv, xb, a) if itself else columns(batch.column(1)[i].values)
                 able = (xr[:, None] != yr) & (denominator * np.minimum(xz[:, None], yz) >= numerator * np.maximum(xz[:, None], yz))
-                common_band = np.zeros_like(able)
+                if itself:
+                    able = np.triu(able, 1)
+                mine = np.zeros_like(able)
                 for k in range(xb.shape[1]):
-                    common_band |= xb[:, k, None] == yb[:, k]
-                p, q = np.nonzero(able & common_band)
+                    first = able & (xb[:, k, None] == yb[:, k])
+                    mine |= first & ((xo >> k % 63 & 1) == 1)[:, None]
+                    able &= ~first
+                p, q = np.nonzero(mine)
                 matches, done = np.zeros(len(p), np.int64), 0
                 for n, least in steps:
                     matches += (xv[p, done:n] == yv[q, done:n]).sum(axis=1)
@@ -290,8 +330,9 @@ def _cross(groups: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFra
                         good.append(k)
                 yield pa.RecordBatch.from_arrays([pa.array(xn[p[good]], pa.int64()), pa.array(yn[q[good]], pa.int64())], names=["a", "b"])
 
-    both = few.join(rows, "pivot").select("x", "y").repartition(common.parallelism(groups.sparkSession))
-    return common.arrow_map(both, run, "a long, b long")
+    found = common.written(common.arrow_map(alone.union(two), run, "a long, b long"), "neardup-links")
+    common.drop(blocks)
+    return found
 
 
 def components(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5, miss: float = 1e-6, permutations: int = PERMUTATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,18 +350,23 @@ def _rows(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5,
     nodes = known.where("digest IS NOT NULL").groupBy("digest").agg(_first_row().alias("row"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
     nodes = nodes.select("digest", "row.doc_id", "row.text_key", "size", "signature")
     nodes = common.written(_banded(nodes.withColumn("node", F.monotonically_increasing_id()), bands, rows), "neardup-nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = common.written(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "neardup-shared")
+    crowded = common.hot_keys(shared, "bucket")
     # only nodes that share a bucket with another go on
-    buckets = common.written(buckets.join(shared.select("bucket", "pivot"), "bucket"), "neardup-buckets")
+    buckets = common.written(common.spread_join(buckets, shared.select("bucket", "pivot"), "bucket", crowded), "neardup-buckets")
+    common.drop(shared)
     pairs = common.written(buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "neardup-pairs")
-    near = buckets.select("node").distinct()
-    sets = _sets(nodes.select("node", "digest", "doc_id", "text_key").join(near, "node"), docs, k)
-    signed = common.written(nodes.select("node", "size", "values", "bands").join(near, "node"), "neardup-signed")
+    near = nodes.join(buckets.select("node").distinct(), "node")
+    signed = common.written(near.select("node", "size", "values", "bands"), "neardup-signed")
+    sets = _sets(near.select("node", "digest", "doc_id", "text_key"), known, docs, k)
     # with its bucket's pivot: sequential verification, then the exact one
     x, y = (signed.select(F.col("node").alias(c), F.struct("size", "values").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    alive = common.written(pairs.join(x, "a").join(y, "b").where(_possible("x", "y", numerator, denominator, miss, permutations)).select("a", "b"), "neardup-alive")
-    links = common.written(_exact(alive, sets, numerator, denominator), "neardup-links")
+    hot = common.hot_keys(pairs, "b")
+    alive = common.spread_join(pairs.join(x, "a"), y, "b", hot).where(_possible("x", "y", numerator, denominator, miss, permutations)).select("a", "b")
+    alive = common.written(alive, "neardup-alive")
+    links = common.written(_exact(alive, sets, hot, numerator, denominator), "neardup-links")
+    common.drop(pairs, alive)
     # so far: a node's root is the least pivot that it is linked with, or that pivot's root, or that one's
     least = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     roots = least
@@ -328,15 +374,22 @@ def _rows(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5,
         above = least.toDF("_node", "_root")
         roots = roots.join(above, roots["root"] == above["_node"], "left").select("node", F.coalesce("_root", "root").alias("root"))
     roots = common.written(roots, "neardup-roots")
-    # two nodes of a bucket have its pivot in common: what is left is in the groups of a pivot that hold several components
-    groups = pairs.select(F.col("b").alias("pivot"), F.col("a").alias("node")).union(pairs.select("b", "b").distinct())
-    left = common.written(_cross(groups, roots, signed, sets, numerator, denominator, miss, permutations), "neardup-links")
-    roots = common.written(connected(links.union(left)), "neardup-roots")
-    rooted = nodes.select("node", "digest", "doc_id", "text_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # two nodes of a bucket have its pivot in common: what is left is in buckets that hold several components
+    common.let_go(docs.sparkSession)
+    left = _cross(buckets, crowded, roots, signed, sets, numerator, denominator, miss, permutations)
+    common.drop(buckets, roots, signed, sets)
+    common.let_go(docs.sparkSession)
+    roots = connected(links.union(left))
+    common.drop(links, left)
+    rooted = common.written(nodes.select("node", "digest", "doc_id", "text_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
+    common.drop(nodes, roots)
     least = rooted.groupBy("root").agg(_first_row().alias("top"))
-    of = rooted.join(least, "root").select("digest", F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("top_key"))
-    full = known.select("doc_id", "text_key", "n_shingles", "digest").join(of, "digest", "left").withColumn("component_id", F.expr("CASE WHEN digest IS NULL THEN doc_id ELSE component_id END"))
-    return full.select("doc_id", "text_key", "n_shingles", "component_id", F.expr("digest IS NULL OR (doc_id <=> component_id AND text_key = top_key)").alias("single"))
+    of = common.spread_join(rooted.select("root", "digest"), least, "root", common.hot_keys(rooted, "root", common.FEW_THIN)).select("digest", F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("top_key"))
+    full = common.spread_join(known.select("doc_id", "text_key", "n_shingles", "digest"), of, "digest", common.hot_keys(known, "digest", common.FEW_THIN), "left").withColumn("component_id", F.expr("CASE WHEN digest IS NULL THEN doc_id ELSE component_id END"))
+    out = full.select("doc_id", "text_key", "n_shingles", "component_id", F.expr("digest IS NULL OR (doc_id <=> component_id AND text_key = top_key)").alias("single"))
+    out = common.written(out, "neardup-result")
+    common.drop(known, rooted)
+    return out
 
 
 def _first_row() -> Column:
@@ -346,12 +399,14 @@ def _first_row() -> Column:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """One document of each component, with the smallest identifier, and all rows without words. Rows that repeat an identifier and its text go or stay together."""
-    gone = _rows(docs, id_col=id_col, text_col=text_col, **parameters).where("NOT single").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")).distinct()
-    gone = common.written(gone, "neardup-gone")
+    rows = _rows(docs, id_col=id_col, text_col=text_col, **parameters)
+    gone = common.written(rows.where("NOT single").select(_row_key().alias("_gone")).distinct(), "neardup-gone")
+    common.drop(rows)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     own_id, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
     plain = docs.toDF(*names).withColumn("_key", _text_key(names[docs.columns.index(text_col)]))
-    stay = plain.join(gone, own_id.cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left_anti")
+    key = F.concat("_key", F.coalesce(own_id.cast("long").cast("string").cast("binary"), F.lit(b"")))
+    stay = plain.join(gone, key == F.col("_gone"), "left_anti")
     # without identifier, copies of a component's one text are left
     bare = F.coalesce(own_id.cast("long").isNull() & text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return stay.where(~bare).union(stay.where(bare).dropDuplicates(["_key"])).select(names).toDF(*docs.columns)
