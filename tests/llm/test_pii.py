@@ -99,3 +99,29 @@ def test_redact(spark):
 @pytest.mark.parametrize("schema", ["doc_id long, text string"])
 def test_empty_table(spark, schema):
     assert pii.scan(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_many_spans_in_a_long_text(spark):
+    """Very many spans of all kinds in one text: positions, context and masks hold, in about linear time."""
+    parts = ["mail {0}@b.de, ", "ip 10.0.{1}.7; ", "call +1 (826) 555-4081 ", "card 4111 1111 1111 1111. ", "call (509) 555-6973 or ", "IBAN DE89 3704 0044 0532 0130 00 é😀 ", "lorem ipsum dolor sit amet " * 9]
+    text = "".join(parts[i % len(parts)].format(i, i % 256) for i in range(24_000))
+    docs = spark.createDataFrame([(1, text), (2, text[:5000]), (3, None)], "doc_id long, text string")
+    rows = pii.scan(docs).join(docs, "doc_id").collect()
+    check(rows)
+    by = {r["doc_id"]: r for r in rows}
+    assert by[1]["n_spans"] > 18_000 and by[1]["spans"].startswith(by[2]["spans"].rsplit(",", 1)[0])
+    spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in by[1]["spans"].split(","))]
+    want, at = [], 0
+    for a, b, k in spans:
+        if a >= at:
+            want += [text[at:a], f"<{k.upper()}>"]
+        at = max(at, b)
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert masked[1] == "".join(want) + text[at:] and masked[3] is None
+
+
+def test_what_stands_near_is_read_across_spans(spark):
+    """Words that name a kind count up to 48 characters before a span, over other spans too, and no farther."""
+    near, far = "phone 1.2.3.4 5.6.7.8 509-555-6973", "phone " + "1.2.3.4 " * 6 + "509-555-6973"
+    rows = {r["doc_id"]: r["spans"] for r in pii.scan(spark.createDataFrame([(1, near), (2, far), (3, "509-555-6973 is my phone"), (4, "509-555-6973 is not quite what names a phone")], "doc_id long, text string")).collect()}
+    assert "phone:22:34" in rows[1] and "phone" not in rows[2].replace("phone:22:34", "") and "phone" in rows[3] and rows[4] == ""
