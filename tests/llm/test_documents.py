@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from binfold.llm import jpeg, lattice, mergecount, neardup, packing, resample, sstable, toxicity, wordcache
-from binfold.llm.queries import tokenizer
+from binfold.llm.queries import op8_jpeg_media, tokenizer
 from tests.llm.conftest import ROWS
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -236,6 +236,98 @@ def test_markers_are_checked():
             jpeg.Image(bad, 0)
 
 
+def other_image(levels, wide, high, sampling=(1, 1), colour=False, interval=0, step=16, ac=False):
+    """A baseline image by another, plain writer: luminance levels by block, flat colours, a code of 5 bits for each size."""
+    across, down = sampling if colour else (1, 1)
+    units_wide, units_high = -(-wide // across), -(-high // down)
+    bits, out, last, units = "", [], [0, 0, 0], 0
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        out.append(b"".join(bytes([int(bits[i : i + 8], 2)]) + b"\0" * (bits[i : i + 8] == "1" * 8) for i in range(0, len(bits), 8)))
+        bits = ""
+
+    def block(c, dc):
+        nonlocal bits
+        d, last[c] = dc - last[c], dc
+        n = abs(d).bit_length()
+        bits += f"{n:05b}" + (f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" if n else "")
+        bits += "00001" + "1" if ac else ""  # a coefficient of size 1
+        bits += "00000"
+
+    for y in range(units_high):
+        for x in range(units_wide):
+            if interval and units and units % interval == 0:
+                flush()
+                out.append(b"\xff" + bytes([0xD0 + (units // interval - 1) % 8]))
+                last = [0, 0, 0]
+            for v in range(down):
+                for h in range(across):
+                    r, c = min(y * down + v, high - 1), min(x * across + h, wide - 1)
+                    block(0, levels[r * wide + c])
+            for c in (1, 2) if colour else ():
+                block(c, 3 * c)
+            units += 1
+    flush()
+    five = lambda n: bytes([0, 0, 0, 0, n] + [0] * 11)
+    parts = [(1, across << 4 | down, 0), *(((2, 0x11, 1), (3, 0x11, 1)) if colour else ())]
+    return (
+        b"\xff\xd8"
+        + jpeg._segment(0xFE, b"a comment")
+        + jpeg._segment(0xDB, b"\0" + bytes([step] + [1] * 63) + b"\1" + bytes([9] * 64))
+        + jpeg._segment(0xC0, struct.pack(">BHHB", 8, high * 8 - 3, wide * 8 - 5, len(parts)) + b"".join(map(bytes, parts)))
+        + jpeg._segment(0xC4, b"\0" + five(12) + bytes(range(12)) + b"\x10" + five(2) + bytes([0, 1]))
+        + (jpeg._segment(0xDD, struct.pack(">H", interval)) if interval else b"")
+        + jpeg._segment(0xDA, bytes([len(parts)]) + b"".join(bytes([p[0], 0]) for p in parts) + b"\0\x3f\0")
+        + b"".join(out)
+        + b"\xff\xd9"
+    )
+
+
+def test_images_of_other_writers():
+    """Colour with any sampling, no restart intervals, short last ones, other tables and steps, and what is no image, side by side with our own."""
+    rng = np.random.default_rng(9)
+    cases, own = [], jpeg.encode_payloads(b"own payload ".ljust(192), [192])[0]
+    for kind in ({}, {"interval": 3}, {"colour": True}, {"colour": True, "sampling": (2, 2), "interval": 2}, {"colour": True, "sampling": (2, 1), "ac": True}, {"ac": True, "step": 3}):
+        wide, high = int(rng.integers(1, 8)), int(rng.integers(1, 8))
+        levels = rng.integers(-40, 40, wide * high).tolist()
+        want = bytes(int(np.clip((v * kind.get("step", 16) + 4 >> 3) + 128, 0, 255)) for v in levels)
+        cases += [(other_image(levels, wide, high, **kind), want), (own, b"own payload ".ljust(192))]
+    cut = cases[0][0]
+    for bad in (b"", b"text", cut[:-2], cut[:40], own[:-30] + b"\xff\xd9", own + b"x", cut[:2] + cut[2:].replace(b"\xff\xc4", b"\xff\xe4", 1)):
+        cases.append((bad, None))
+    cases.append((own + own, b"own payload ".ljust(192) * 2))
+    order = rng.permutation(len(cases)).tolist()
+    got = jpeg.read_media([cases[i][0] for i in order])
+    for i, found in zip(order, got):
+        assert (found and found[0]) == cases[i][1], i
+
+
+def test_features_of_null_and_broken_media(spark):
+    good = jpeg.encode_payloads(b"q" * 192, [192])[0]
+    rows = [(1, 192, good), (2, 0, None), (3, 4, b"text"), (4, 0, b""), (None, 0, None), (6, 1, good[:-9])]
+    got = {r["doc_id"]: r.asDict() for r in jpeg.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["payload_bytes"] == 192 and got[1]["feature"].startswith("192x1:")
+    assert got[2]["media_bytes"] is got[None]["media_sha256"] is got[3]["feature"] is got[6]["payload_sha256"] is None
+    assert (got[3]["media_bytes"], got[4]["media_bytes"]) == (4, 0)
+    only = jpeg.features(spark.createDataFrame([(1, 0, None)] * 3, "doc_id long, n_bytes long, media binary")).collect()
+    assert len(only) == 3 and all(r["feature"] is None for r in only)
+
+
+def test_media_of_the_whole_table(spark, table):
+    """op8's query on the table against the contract, text by text."""
+    got = {r["doc_id"]: r for r in op8_jpeg_media(spark, "/root/testdata/sf0.001").collect()}
+    rows = table.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        mine = got[r["doc_id"]]
+        assert (mine["n_bytes"], mine["payload_bytes"], mine["payload_sha256"], mine["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert mine["width"] == 1536 and mine["height"] == len(payload) // 192 * 8
+
+
 # op 9
 
 
