@@ -18,7 +18,8 @@ them, through a logistic curve that the rows of remainder 4 fit, give the score.
 Labels, language, source and identifier are never inputs of a score. A null or empty text
 has no words and a score near 0. Null or repeated identifiers are documents of their own (a
 null one isn't held out); a label that is null or lacks an identifier is left out; of
-repeated labels the largest counts. Without labels of both kinds all scores are 0. Other
+repeated labels the largest counts; an identifier's texts count once each, up to the bound.
+A text of any length is scanned whole. An empty table gives an empty result. Without labels of both kinds all scores are 0. Other
 columns are ignored by `score` and kept by `reject`.
 """
 
@@ -41,6 +42,8 @@ LABELLED = 20_000
 TOKENS = 50_000
 PREFIXES = range(4, 8)
 PRIOR, FLOOR, DEVIATIONS, LEAST, PENALTY = 10.0, 0.5, 1.64, 1.0, 1.0
+#: Scores of labelled clean documents are counted in steps of 1 / GRID, and as MOST from there on.
+GRID, MOST = 64, 256
 
 
 def tokens_of(word: str) -> list[str]:
@@ -157,7 +160,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col:
     y = y.orderBy(F.xxhash64("k"), "k").limit(bound)
     found = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(y), "k")  # at most `bound` rows of numbers
     found = found.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("y").alias("y"), F.min("fold").alias("fold"))
-    return common.written(found.select("text", "y", "fold"), "labelled")
+    found = common.written(found, "labelled")
+    # an identifier may repeat with any number of texts
+    if found.count() > bound:
+        last = found.select("h").orderBy("h").limit(bound).agg(F.max("h")).first()[0]  # numbers alone
+        few = common.written(found.where(F.col("h") <= last), "labelled")
+        common.drop(found)
+        found = few
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -165,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     sizes = {(r["y"], r["last"]): r["n"] for r in rows.groupBy("y", (F.col("fold") == 4).alias("last")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get((1, False), 0), sizes.get((0, False), 0)
     if not n1 or not n0:
+        common.drop(rows)
         return Model({})
 
     def count(batches):
@@ -191,25 +202,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
             got = model.passages(block.column(0))
             yield pa.RecordBatch.from_arrays([block.column(1), block.column(2), pa.array([n for n, _ in got], pa.int64()), pa.array([[s for *_, s in x] for _, x in got], pa.list_(pa.float64()))], names=["y", "last", "n", "scores"])
 
-    # as many numbers as labelled rows have segments
-    seen = common.arrow_map(rows.select("text", "y", (F.col("fold") == 4).alias("last")), segments, "y int, last boolean, n long, scores array<double>").collect()
-    clean = [r for r in seen if r["y"] == 0]
-    words, scores = sum(r["n"] for r in clean), np.array([s for r in clean for s in r["scores"]])
-    if len(scores):
+    kind = "y int, last boolean, n long, scores array<double>"
+    seen = common.written(common.arrow_map(rows.select("text", "y", (F.col("fold") == 4).alias("last")), segments, kind), "toxic-segments")
+    clean = seen.where("y = 0")
+    words = clean.agg(F.sum("n")).first()[0] or 0
+    # clean documents' segment scores by number: at most GRID * MOST of them, however long the texts are
+    grid = F.floor(F.least(F.col("s"), F.lit(float(MOST))) * GRID).cast("int")
+    held = clean.select(F.explode("scores").alias("s")).groupBy(grid.alias("at")).agg(F.count("*").alias("n"), F.avg(F.least(F.col("s"), F.lit(float(MOST)))).alias("s")).orderBy("at").collect()
+    if held:
+        scores, times = np.array([r["s"] for r in held]), np.array([r["n"] for r in held], float)
         # lambda: the one positive root of E exp(lambda x) = 1 over the words of clean documents
         low, high = 1e-6, 10.0
         for _ in range(60):
             rate = (low + high) / 2
-            chance = np.exp(np.minimum(rate * scores, 50)).sum() + (words - len(scores)) * math.exp(-rate * PENALTY)
+            chance = (times * np.exp(np.minimum(rate * scores, 50))).sum() + (words - times.sum()) * math.exp(-rate * PENALTY)
             low, high = (rate, high) if chance < words else (low, rate)
         model.rate = low
-        top = np.quantile(scores, 0.5)
-        model.level = float((scores >= top).sum() * math.exp(model.rate * top) / max(words, 1))
-    fit = [r for r in seen if r["last"]] or seen
-    if len({r["y"] for r in fit}) < 2:
-        fit = seen
-    got = [model.evidence(r["n"], [(0, 0, s) for s in r["scores"]]) for r in fit]
-    x = np.array([[max(-20.0, min(b, 40.0)), math.log1p(t)] for b, t, _ in got])
+        middle = int(np.searchsorted(np.cumsum(times), times.sum() / 2))
+        model.level = float(times[middle:].sum() * math.exp(model.rate * scores[middle]) / max(words, 1))
+    base = F.log(F.lit(model.level) * F.greatest("n", F.lit(1)))
+    values = F.transform("scores", lambda x: F.lit(model.rate) * x - base)
+    best = F.coalesce(F.array_max(values), -base - F.lit(model.rate * PENALTY))
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0)))
+    # three numbers a labelled text, of which there are at most `bound`
+    fit = seen.select("y", "last", best.alias("best"), total.alias("total")).collect()
+    common.drop(seen, rows)
+    part = [r for r in fit if r["last"]]
+    fit = part if len({r["y"] for r in part}) == 2 else fit
+    x = np.array([[max(-20.0, min(r["best"], 40.0)), math.log1p(r["total"])] for r in fit])
     model.curve = _logistic(x, np.array([r["y"] for r in fit], float)).tolist()
     return model
 

@@ -117,3 +117,108 @@ def test_sampling_odd_rows(spark, odd, none, labels):
     assert resample.fit(odd, labels.where("false")) is None
     assert resample.keep_sample(odd, None).count() == odd.count() == resample.resample(odd, None).where("kept").count()
     assert resample.resample(none, ratio).count() == 0 == resample.keep_sample(none, ratio).count()
+
+
+def plain_words(text):
+    return [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split(" ") if w]
+
+
+def test_the_model_against_a_plain_version(spark):
+    """Token bounds by counting, lambda as a root, best segments by all sums, and the score from them, for each text."""
+    docs, labels = planted(spark, 400)
+    y = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in texts}
+    model = toxicity.train(docs, labels)
+    learn = [i for i in texts if fold[i] in (1, 2, 3)]
+    n = {v: sum(y[i] == v for i in learn) for v in (0, 1)}
+    counts = {0: {}, 1: {}}
+    for i in learn:
+        words = set(plain_words(texts[i]))
+        for t in words | {w[:k] + "*" for w in words for k in range(4, 8) if k < len(w)}:
+            counts[y[i]][t] = counts[y[i]].get(t, 0) + 1
+    bounds = {}
+    for t, c1 in counts[1].items():
+        c0 = counts[0].get(t, 0)
+        share = (c1 + c0) / (n[0] + n[1])
+        a, b = 10 * share + 0.5, 10 * (1 - share) + 0.5
+        odds = math.log((c1 + a) / (n[1] - c1 + b)) - math.log((c0 + a) / (n[0] - c0 + b))
+        bound = odds - 1.64 * math.sqrt(1 / (c1 + a) + 1 / (c0 + a))
+        if c1 >= 3 and bound > 1:
+            bounds[t] = bound
+    assert model.tokens.keys() == bounds.keys() and all(math.isclose(model.tokens[t], b, rel_tol=1e-9) for t, b in bounds.items())
+
+    def scores(text):
+        out = []
+        for w in plain_words(text):
+            best = max(bounds.get(t, 0.0) for t in [w, *(w[:k] + "*" for k in range(4, 8) if k < len(w))])
+            out.append(best if best > 0 else -1.0)
+        return out
+
+    clean, words = [], 0
+    for i in texts:
+        if fold[i] and not y[i]:
+            clean += [v for *_, v in toxicity.maximal_segments(scores(texts[i]))]
+            words += len(plain_words(texts[i]))
+    if clean:
+        chance = sum(math.exp(model.rate * v) for v in clean) + (words - len(clean)) * math.exp(-model.rate)
+        assert model.rate > 9.9 or math.isclose(chance, words, rel_tol=1e-3)
+    for r in toxicity.score(docs, model).collect():
+        s = scores(texts[r["doc_id"]])
+        sums = [sum(s[a:b]) for a in range(len(s)) for b in range(a + 1, len(s) + 1)]
+        base = math.log(model.level * max(len(s), 1))
+        best = max(model.rate * max(sums) - base if max(sums) > 0 else -base - model.rate, -20)
+        assert max(p["score"] for p in r["passages"]) == pytest.approx(max(sums)) if r["passages"] else best <= 1e-9
+        total = sum(max(0, model.rate * v - base) for *_, v in toxicity.maximal_segments(s))
+        z = model.curve[0] + model.curve[1] * max(-20.0, min(best, 40.0)) + model.curve[2] * math.log1p(total)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), abs=1e-9)
+
+
+def test_an_identifier_with_more_texts_than_the_bound(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (7, 1)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels, "toxic", 50, "doc_id", "text").count() == 50
+
+
+def test_importance_sample_against_a_plain_version(spark, larger):
+    """Weights, k and the kept set from the definition: words to shapes, shapes and pairs to buckets, counts to ratios."""
+    import xxhash
+
+    docs, labels = larger
+    docs = docs.where("doc_id % 3 = 0").union(docs.sparkSession.createDataFrame([(10**9, None), (10**9 + 1, "")], "doc_id long, text string").join(docs.drop("doc_id", "text").limit(1)).select(*docs.columns))
+    rows = docs.select("doc_id", "text", resample._seed("doc_id", "text").alias("seed")).collect()
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        words = [w for w in resample.re.split(r"[ \t\n\v\f\r]+", text or "") if w]
+        h = [1 if i and words[i] == words[i - 1] else xxhash.xxh3_64_intdigest(resample.shape(w)) for i, w in enumerate(words)]
+        one = [(x * 0x9E3779B97F4A7C15 & mask) >> 48 for x in h]
+        two = [((x * 0xC2B2AE3D27D4EB4F + (z ^ 0x5851F42D4C957F2D)) * 0x9E3779B97F4A7C15 & mask) >> 48 for x, z in zip(h, h[1:])]
+        return one + two
+
+    assert [resample.shape(w) for w in ("Hello", "AAA", "a1234b", "x--y!!", "***", "")] == ["Aa+", "A+", "a9a", "a-+a!+", "*+", ""]
+    y = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None and not held_out(r["doc_id"]):
+            y[r["doc_id"]] = max(y.get(r["doc_id"], 0), r["quality"])
+    texts = {}
+    for r in rows:
+        if r["doc_id"] in y and r["text"] is not None:
+            texts[r["text"]] = max(texts.get(r["text"], 0), y[r["doc_id"]])
+    target, raw = np.zeros(1 << 16), np.zeros(1 << 16)
+    for t, good in texts.items():
+        if good:
+            np.add.at(target, np.array(grams(t), int), 1)
+    for r in rows:
+        np.add.at(raw, np.array(grams(r["text"]), int), 1)
+    share = sum(texts.values()) / len(texts)
+    log = np.log((target + 2) / (raw * target.sum() / raw.sum() + 2))
+    weight = {r["doc_id"]: float(log[np.array(grams(r["text"]), int)].sum()) for r in rows}
+    gumbel = {r["doc_id"]: -math.log(-math.log((((r["seed"] & mask) >> 11) + 0.5) * 2.0**-53)) for r in rows}
+    k = sum(w + math.log(share) >= math.log(0.5) for w in weight.values())
+    best = sorted(weight, key=lambda i: -(weight[i] + gumbel[i]))[:k]
+    got = resample.resample(docs, resample.fit(docs, labels)).collect()
+    for r in got:
+        assert r["log_weight"] == pytest.approx(weight[r["doc_id"]], abs=1e-6)
+        assert r["key"] == pytest.approx(weight[r["doc_id"]] + gumbel[r["doc_id"]], abs=1e-6)
+    assert {r["doc_id"] for r in got if r["kept"]} == set(best)
