@@ -384,8 +384,8 @@ def _rows(docs: DataFrame, k: int = 5, numerator: int = 4, denominator: int = 5,
     rooted = common.written(nodes.select("node", "digest", "doc_id", "text_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
     common.drop(nodes, roots)
     least = rooted.groupBy("root").agg(_first_row().alias("top"))
-    of = common.spread_join(rooted.select("root", "digest"), least, "root", common.hot_keys(rooted, "root", common.FEW_THIN)).select("digest", F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("top_key"))
-    full = common.spread_join(known.select("doc_id", "text_key", "n_shingles", "digest"), of, "digest", common.hot_keys(known, "digest", common.FEW_THIN), "left").withColumn("component_id", F.expr("CASE WHEN digest IS NULL THEN doc_id ELSE component_id END"))
+    of = common.spread_join(rooted.select("root", "digest"), least, "root", common.hot_keys(rooted, "root")).select("digest", F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("top_key"))
+    full = common.spread_join(known.select("doc_id", "text_key", "n_shingles", "digest"), of, "digest", common.hot_keys(known, "digest"), "left").withColumn("component_id", F.expr("CASE WHEN digest IS NULL THEN doc_id ELSE component_id END"))
     out = full.select("doc_id", "text_key", "n_shingles", "component_id", F.expr("digest IS NULL OR (doc_id <=> component_id AND text_key = top_key)").alias("single"))
     out = common.written(out, "neardup-result")
     common.drop(known, rooted)
