@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
 from binfold.operators import many_axes, one_axis
-from binfold.operators.histogram import build, merge
+from binfold.operators.histogram import Histogram, build, merge
 from binfold.operators.many_axes import LINEAR, MULTIPLICATIVE, Axis
-from binfold.sources import readers, tables
+from binfold.sources import readers, tables, wire
 
 _SCALES = {"linear": LINEAR, "mult": MULTIPLICATIVE, "multiplicative": MULTIPLICATIVE}
 
@@ -41,6 +42,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("input")
         p.add_argument("output")
         p.add_argument("-s", "--schema", required=True)
+        p.add_argument("--binary", action="store_true", help="write the binary form, one local file")
         if kind == "binary":
             p.add_argument("-d", "--data-type", required=True, choices=list(readers.PACKED))
         else:
@@ -65,6 +67,7 @@ def _parser() -> argparse.ArgumentParser:
     p = what.add_parser("merge")
     p.add_argument("inputs", nargs="+")
     p.add_argument("output")
+    p.add_argument("--binary", action="store_true", help="write the binary form, one local file")
     p = what.add_parser("export")
     p.add_argument("histogram")
     p.add_argument("-o", "--output", required=True)
@@ -72,9 +75,35 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
+def _is_binary(path: str) -> bool:
+    """A local file in the binary form."""
+    if not os.path.isfile(path):
+        return False
+    with open(path, "rb") as source:
+        return source.read(len(wire.MAGIC)) == wire.MAGIC
+
+
+def _stored(spark: SparkSession, path: str) -> Histogram:
+    return wire.read(spark, path) if _is_binary(path) else tables.read_histogram(spark, path)
+
+
+def _store(hist: Histogram, path: str, binary: bool) -> None:
+    if binary:
+        wire.write(hist, path)
+    else:
+        tables.write_histogram(hist, path)
+
+
+def _merged(spark: SparkSession, paths: list[str]) -> Histogram:
+    """All tables in one read, and the binary files."""
+    files = [p for p in paths if _is_binary(p)]
+    others = [p for p in paths if p not in files]
+    return merge([*(wire.read(spark, p) for p in files), *([tables.merge_stored(spark, others)] if others else [])])
+
+
 def _answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     axes = [parse_axis(a) for a in args.axis] if args.kind == "grid" else []  # before anything is read
-    hist = tables.read_histogram(spark, args.histogram)
+    hist = _stored(spark, args.histogram)
     if args.kind == "topk":
         return one_axis.top_k(hist, args.k).orderBy("ord", ascending=False).drop("ord")
     if args.kind == "percentile":
@@ -95,11 +124,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         if args.what == "generate":
             df = readers.read(spark, args.input, args.kind, getattr(args, "columns", ()), getattr(args, "data_type", None))
-            tables.write_histogram(build(df, df.columns, args.schema), args.output)
+            _store(build(df, df.columns, args.schema), args.output, args.binary)
         elif args.what == "merge":
-            tables.write_histogram(merge([tables.read_histogram(spark, p) for p in args.inputs]), args.output)
+            _store(_merged(spark, args.inputs), args.output, args.binary)
         elif args.what == "export":
-            tables.export(tables.read_histogram(spark, args.histogram), args.output, args.format)
+            tables.export(_stored(spark, args.histogram), args.output, args.format)
         elif args.output:
             tables.write_result(_answer(spark, args), args.output)
         else:

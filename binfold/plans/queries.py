@@ -12,6 +12,8 @@ from binfold.operators import many_axes, one_axis
 from binfold.operators.histogram import Histogram, build, merge
 from binfold.operators.many_axes import LINEAR, MULTIPLICATIVE, Axis
 from binfold.plans import sql
+from binfold.sources import readers, tables, wire
+from binfold.sources.workspace import fresh
 
 PRICE, BALANCE = ("lineitem", "l_extendedprice"), ("customer", "c_acctbal")
 #: Columns of lineitem by number of axes; discounts and taxes have zeros.
@@ -68,6 +70,74 @@ def _registry() -> dict[str, tuple[Query, str]]:
 
         return query
 
+    def stored(n: int, layout: str, parts: int) -> Query:
+        """Histograms of so many parts are stored, each in a table of its own, and merged from there in one read."""
+
+        def query(spark: SparkSession, d: str) -> DataFrame:
+            h = build(_table(spark, d, "lineitem").withColumn("part", F.pmod("l_orderkey", F.lit(parts))), COLUMNS[:n], layout, ["part"])
+            folder = fresh(spark, "parts")
+            paths = [f"{folder}/{i}" for i in range(parts)]
+            for i, path in enumerate(paths):
+                tables.write_histogram(Histogram(h.config, h.df.where(F.col("part") == i).drop("part")), path)
+            return tables.merge_stored(spark, paths).df
+
+        return query
+
+    for n in (1, 2, 3, 4):
+        for letter in "TFP" if n == 1 else "FP":
+            out[f"merge_stored_{n}dx{letter.lower()}"] = (stored(n, f"{n}Dx{letter}", 5), sql.build("lineitem", COLUMNS[:n], f"{n}Dx{letter}"))
+
+    def specials_merged(spark: SparkSession, d: str) -> DataFrame:
+        h, path = build(spark.createDataFrame([(v,) for v in _SPECIAL_VALUES], "v double"), "v", "1DxP"), fresh(spark, "specials")
+        tables.write_histogram(h, f"{path}/a")
+        tables.write_histogram(h, f"{path}/b")
+        return tables.merge_stored(spark, [f"{path}/a", f"{path}/b"]).df
+
+    out["merge_stored_specials"] = (specials_merged, sql.build(f"(SELECT * FROM {SPECIALS} UNION ALL SELECT * FROM {SPECIALS})", ["v"], "1DxP"))
+    out["special_counts_1d"] = (_special("1DxP", Histogram.specials), sql.special_counts(SPECIALS, ["v"], "1DxP"))
+    out["observations_1d"] = (_special("1DxP", Histogram.trie_count), sql.observations(SPECIALS, ["v"], "1DxP"))
+    for n in (2, 3, 4):
+        out[f"special_counts_{n}d"] = (_lines(n, f"{n}DxP", Histogram.specials), sql.special_counts("lineitem", COLUMNS[:n], f"{n}DxP"))
+        out[f"observations_{n}d"] = (_lines(n, f"{n}DxF", Histogram.trie_count), sql.observations("lineitem", COLUMNS[:n], f"{n}DxF"))
+
+    def binary_form(n: int, layout: str) -> Query:
+        """Through the binary form: the buffer's rows are read again."""
+
+        def query(spark: SparkSession, d: str) -> DataFrame:
+            h = build(_table(spark, d, "lineitem"), COLUMNS[:n], layout)
+            data = wire.encode(h.config, [r.asDict() for r in h.df.toLocalIterator()])
+            return spark.createDataFrame([(data,)], "content binary").mapInPandas(wire.unpacked(h.config), wire.schema(h.config))
+
+        return query
+
+    for n, letter in ((1, "T"), (1, "F"), (1, "P"), (2, "P"), (3, "P"), (4, "P")):
+        out[f"binary_form_{n}dx{letter.lower()}"] = (binary_form(n, f"{n}Dx{letter}"), sql.build("lineitem", COLUMNS[:n], f"{n}Dx{letter}"))
+
+    def from_csv(spark: SparkSession, d: str) -> DataFrame:
+        path = fresh(spark, "csv")
+        _table(spark, d, "lineitem").select(*COLUMNS[:2]).write.option("header", True).csv(path)
+        return build(readers.read(spark, path, "csv", COLUMNS[:2]), COLUMNS[:2], "2DxP").df
+
+    def from_packed(spark: SparkSession, d: str) -> DataFrame:
+        import numpy as np
+
+        made = fresh(spark, "packed")
+        values = np.array([r[0] for r in _table(spark, d, "customer").select(BALANCE[1]).where(f"{BALANCE[1]} IS NOT NULL").toLocalIterator()], "<f8")
+        spark.createDataFrame([(values.tobytes(),)], "content binary").select(F.hex("content").alias("value")).write.text(made)
+        # Spark's own writers make text: the packed bytes come back from it, and go the way of a file's
+        raw = spark.read.text(made).select(F.lit(made).alias("path"), F.unhex("value").alias("content"))
+        return build(readers.unpacked(raw, "double", BALANCE[1]), BALANCE[1], "1DxP").df
+
+    def from_memory(spark: SparkSession, d: str) -> DataFrame:
+        rows = _table(spark, d, "customer").select(BALANCE[1]).where(f"{BALANCE[1]} IS NOT NULL").toPandas()
+        return build(readers.from_arrays(spark, rows[BALANCE[1]].to_numpy()), "x", "1DxP").df
+
+    out["source_csv"] = (from_csv, sql.build("lineitem", COLUMNS[:2], "2DxP"))
+    out["source_packed"] = (from_packed, sql.build(BALANCE[0], [BALANCE[1]], "1DxP"))
+    out["source_arrays"] = (from_memory, sql.build(BALANCE[0], [BALANCE[1]], "1DxP"))
+    for n in (1, 2, 4):
+        out[f"export_rows_{n}d"] = (_lines(n, f"{n}DxP", tables.export_rows), sql.export_rows("lineitem", COLUMNS[:n], f"{n}DxP"))
+    out["grouped_grid"] = (lambda spark, d: many_axes.grid(build(_table(spark, d, "lineitem"), COLUMNS[:2], "2DxP", ["l_returnflag"]), [Axis(1000, 50000, 5), Axis(0, 0.1, 3)]), sql.grouped_grid("lineitem", COLUMNS[:2], "2DxP", [(1000, 50000, 5, "linear"), (0, 0.1, 3, "linear")], "l_returnflag"))
     out["merge_pair"] = (parts(2, "1DxP"), sql.build("lineitem", COLUMNS[:1], "1DxP"))
     out["merge_nway"] = (parts(8, "2DxF"), sql.build("lineitem", COLUMNS[:2], "2DxF"))
 

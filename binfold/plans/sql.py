@@ -113,6 +113,27 @@ def extreme_value(source: str, column: str, layout: str, f: str) -> str:
     return f"{ordered(source, column, layout)} SELECT {_ROW} FROM ord WHERE ord = (SELECT {f}(ord) FROM ord)"
 
 
+def special_counts(source: str, columns: Sequence[str], layout: str) -> str:
+    """A record counts once for each axis that is special."""
+    kinds = [f"kind{_suffix(len(columns), i)}" for i in range(len(columns))]
+
+    def total(*names: str) -> str:
+        return f"CAST(coalesce(sum(count * ({' + '.join(f'CAST({k} IN ({', '.join(map(repr, names))}) AS INTEGER)' for k in kinds)})), 0) AS BIGINT)"
+
+    return f"WITH {bins(source, columns, layout)} SELECT {total('pinf')} AS pos_inf, {total('ninf')} AS neg_inf, {total('pzero', 'zero')} AS pos_zero, {total('nzero')} AS neg_zero, {total('nan')} AS nan FROM hist"
+
+
+def observations(source: str, columns: Sequence[str], layout: str) -> str:
+    where = " WHERE kind = 'fin'" if len(columns) == 1 else ""
+    return f"WITH {bins(source, columns, layout)} SELECT CAST(coalesce(sum(count), 0) AS BIGINT) AS observations FROM hist{where}"
+
+
+def export_rows(source: str, columns: Sequence[str], layout: str) -> str:
+    """boundaries() with the names of the exported files."""
+    named = ", ".join(f'{a}_{e} AS "{a}-{e}"' for a in AXES[: len(columns)] for e in ("min", "max"))
+    return f"SELECT {named}, counts FROM ({boundaries(source, columns, layout)}) b"
+
+
 def _special(field: str, kind: str) -> str:
     return f"CASE {kind} WHEN 'pinf' THEN CAST('inf' AS DOUBLE) WHEN 'ninf' THEN CAST('-inf' AS DOUBLE) WHEN 'zero' THEN 0.0 WHEN 'nan' THEN CAST('nan' AS DOUBLE) ELSE {field} END"
 
@@ -173,6 +194,12 @@ c AS (SELECT {ids}, sum(count) AS n FROM hist {looks} GROUP BY ALL)
 SELECT {out}, CAST(coalesce(c.n, 0) AS BIGINT) AS count, CAST({number} AS BIGINT) AS cell FROM (SELECT 1) one, {cells} LEFT JOIN c ON {on}"""
 
 
+def grouped_grid(source: str, columns: Sequence[str], layout: str, axes: Sequence[tuple], by: str) -> str:
+    """Populated cells of each group: the grid of each group's rows, for finite axes of two columns."""
+    one = grid(f"(SELECT * FROM {source} WHERE {by} = '{{g}}')", columns, layout, axes)
+    return " UNION ALL ".join(f"SELECT '{g}' AS {by}, * FROM ({one.replace('{g}', g)}) WHERE count > 0" for g in "ANR")
+
+
 def boxes(source: str, columns: Sequence[str], layout: str, wanted: Sequence[Sequence[tuple[float, float]]]) -> str:
     names, last = AXES[: len(columns)], (1 << 12) - 1
 

@@ -36,12 +36,16 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], schema: str
     return _numbers(reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path), columns)
 
 
-def read_binary(spark: SparkSession, path: str, data_type: str, column: str = "value", files_per_task: int | None = None) -> DataFrame:
-    """Packed little-endian numbers without a header: one column. A trailing part of a number is an error."""
+def _packed(data_type: str) -> tuple[str, T.DataType, int]:
     if data_type not in PACKED:
         raise ValueError(f"data type {data_type!r}; there are {', '.join(PACKED)}")
     kind, out = PACKED[data_type]
-    width = np.dtype(kind).itemsize
+    return kind, out, np.dtype(kind).itemsize
+
+
+def unpacked(files: DataFrame, data_type: str, column: str = "value") -> DataFrame:
+    """files: (path, content), packed numbers in a row. One column of all numbers."""
+    kind, out, width = _packed(data_type)
 
     def unpack(batches):
         for batch in batches:
@@ -51,8 +55,40 @@ def read_binary(spark: SparkSession, path: str, data_type: str, column: str = "v
                 for at in range(0, len(raw), width << 20):
                     yield pd.DataFrame({column: np.frombuffer(raw[at : at + (width << 20)], kind)})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unpack, T.StructType([T.StructField(column, out)]))
+    return files.select("path", "content").mapInPandas(unpack, T.StructType([T.StructField(column, out)]))
+
+
+#: Bytes of a packed file that a task reads at a time; a longer file is read in ranges.
+RANGE = 256 << 20
+
+
+def read_binary(spark: SparkSession, path: str, data_type: str, column: str = "value", part: int = RANGE) -> DataFrame:
+    """Packed little-endian numbers without a header: one column. A trailing part of a number is an error.
+
+    Files up to `part` bytes are rows of Spark's own reader. Longer ones are cut to ranges,
+    which tasks read by their offsets, from a file system that pyarrow knows.
+    """
+    kind, out, width = _packed(data_type)
+
+    def unpack_ranges(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, length, begin in zip(batch["path"], batch["length"], batch["begin"]):
+                if length % width:
+                    raise ValueError(f"{name}: {length} bytes aren't a multiple of {width}")
+                store, place = fs.FileSystem.from_uri(name)
+                with store.open_input_file(place) as source:
+                    for at in range(begin, min(begin + step, length), width << 20):
+                        raw = source.read_at(min(width << 20, begin + step - at, length - at), at)
+                        yield pd.DataFrame({column: np.frombuffer(raw, kind)})
+
+    step = max(1, part // width) * width
+    files, schema = spark.read.format("binaryFile").load(path), T.StructType([T.StructField(column, out)])
+    short = unpacked(files.where(F.col("length") <= part).select("path", "content"), data_type, column)
+    # names and lengths alone: the contents of long files aren't read here
+    long = files.where(F.col("length") > part).select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("begin"))
+    return short.union(long.repartition("path", "begin").mapInPandas(unpack_ranges, schema))
 
 
 def from_arrays(spark: SparkSession, *arrays: Sequence[float] | np.ndarray) -> DataFrame:

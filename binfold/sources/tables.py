@@ -8,7 +8,7 @@ a distributed export is boundaries(hist).write.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -19,23 +19,43 @@ from binfold.functions.configs import config
 from binfold.operators.histogram import AXES, Histogram
 from binfold.operators.many_axes import boundaries
 
-_MARK = "histogram"
+_MARK, _LAYOUT = "histogram", "_layout"
 ROW_GROUP = 1024
 
 
 def write_histogram(hist: Histogram, path: str) -> None:
-    """One row for each populated bin."""
+    """One row for each populated bin. The layout is a column too: of one value, so it takes no room."""
     mark = {_MARK: json.dumps({"layout": hist.config.name, "by": list(hist.by)})}
-    hist.df.withMetadata("count", mark).write.mode("overwrite").parquet(path)
+    hist.df.withMetadata("count", mark).withColumn(_LAYOUT, F.lit(hist.config.name)).write.mode("overwrite").parquet(path)
 
 
-def read_histogram(spark: SparkSession, path: str) -> Histogram:
-    df = spark.read.parquet(path)
+def _stored(df: DataFrame, path: str) -> Histogram:
     known = df.schema["count"].metadata.get(_MARK) if "count" in df.columns else None
     if not known:
         raise ValueError(f"{path} holds no histogram")
     known = json.loads(known)
-    return Histogram(config(known["layout"]), df, tuple(known["by"]))
+    return Histogram(config(known["layout"]), df.drop(_LAYOUT), tuple(known["by"]))
+
+
+def read_histogram(spark: SparkSession, path: str) -> Histogram:
+    return _stored(spark.read.parquet(path), path)
+
+
+def merge_stored(spark: SparkSession, paths: Sequence[str]) -> Histogram:
+    """The sum of stored histograms of one layout, any number of them: one read of all paths and one aggregation.
+
+    Whether the layouts agree is told from their least and greatest name, which Parquet keeps
+    with its row groups.
+    """
+    if not paths:
+        raise ValueError("nothing to merge")
+    df = spark.read.parquet(*paths)
+    first = _stored(df, paths[0])
+    if _LAYOUT in df.columns:
+        least, most = df.agg(F.min(_LAYOUT), F.max(_LAYOUT)).first()
+        if least is not None and (least, most) != (first.config.name, first.config.name):
+            raise ValueError(f"histograms of {least} and {most} don't merge")
+    return Histogram(first.config, first.df.groupBy(*first.keys).agg(F.sum("count").alias("count")), first.by)
 
 
 def export_rows(hist: Histogram) -> DataFrame:
