@@ -20,7 +20,8 @@ With kappa the best score left after k pops, a sample's inclusion probability is
 
 All numbers are hashes of the row key, the sample, the word and the step, so a row's samples
 depend on nothing else. A null key counts as one key; rows that repeat a key and text repeat
-its samples. A null or empty text has one segmentation, of no pieces. Other columns are ignored.
+its samples. A null or empty text has one segmentation, of no pieces. A text of any length is
+one lattice. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binfold.llm import common
+from binfold.llm.common import ragged
 from binfold.llm.mergecount import _PRETOKEN, SPACE
 
 CACHE_EDGES = 14_000_000
+#: Pieces that are spelt together.
+SPELT = 200_000
 #: The power that flattens the pieces' law: at 1 hardly any but the best segmentation comes up.
 THETA = 0.25
 _U, _ALL = np.uint64, (1 << 64) - 1
@@ -109,6 +113,10 @@ class Lattices:
             self.surface[i] = p.replace(SPACE, " ").encode()
         for b, i in self.bytes_id.items():
             self.surface[i] = bytes([b])
+        self.spelt = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.spelt_n = np.fromiter(map(len, self.surface), np.int64, len(self.surface))
+        self.spelt_at = np.cumsum(self.spelt_n) - self.spelt_n
+        self.byte_ids = np.array([self.bytes_id.get(b, 0) for b in range(256)], np.int32)
         self._trie()
         self._clear()
 
@@ -265,17 +273,30 @@ class Lattices:
         return out, counts
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
-        """The ids of a path's edges, which go from right to left."""
-        code = self.code[edges[::-1]]
+        """The ids of one path."""
+        return self.ids_of([edges])[0]
+
+    def ids_of(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the paths, whose edges go from right to left, one after another, and how many each has."""
+        sizes = np.array([len(p) for p in paths], np.int64)
+        code = self.code[np.concatenate([p[::-1] for p in paths])] if paths else np.zeros(0, np.int32)
         odd = np.flatnonzero(code < 0)
         if not len(odd):
-            return code.astype(np.int32)
-        spelt = [[self.bytes_id[b] for b in chr(-1 - c).encode()] for c in code[odd].tolist()]
+            return code.astype(np.int32), sizes
+        spelt = [chr(-1 - c).encode() for c in code[odd].tolist()]
         n = np.ones(len(code), np.int64)
         n[odd] = list(map(len, spelt))
-        out = np.repeat(code, n)
-        out[out < 0] = [i for x in spelt for i in x]
-        return out.astype(np.int32)
+        out = np.repeat(code, n).astype(np.int32)
+        out[out < 0] = self.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return out, np.diff(ends)
+
+    def spell(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes that each run of ids stands for."""
+        n = self.spelt_n[ids]
+        raw = self.spelt[ragged(self.spelt_at[ids], n)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)].tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the blank that encoding puts first is taken off again."""
@@ -446,15 +467,25 @@ def encode(docs: DataFrame, model: str, k: int = 3, theta: float = THETA, id_col
 
         def step(block: pa.RecordBatch) -> pa.RecordBatch:
             keys, found = block.column(0).to_pylist(), common.texts(block, "text")
-            rows: list[list] = [[] for _ in range(8 + with_ids)]
-            for key, text, samples in zip(keys, found, sample(own, [-1 if x is None else x for x in keys], found, k)):
-                for i, s in enumerate(samples):
-                    ids = own.ids(s["edges"])
-                    values = [key, i + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), s["log_prob"], s["score"], s["log_inclusion"], own.decode(ids.tolist()) == text]
-                    for column, v in zip(rows, [*values, ids][: len(rows)]):
-                        column.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "score", "log_inclusion", "round_trip", "ids"][: len(rows)])
+            drawn = [(doc, i + 1, x) for doc, samples in enumerate(sample(own, [-1 if x is None else x for x in keys], found, k)) for i, x in enumerate(samples)]
+            ends = np.cumsum([len(x["edges"]) for *_, x in drawn])
+            parts, per, sums, same, begin = [], [], [], [], 0
+            while begin < len(drawn):  # some samples at a time, as their bytes are laid out one by one
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SPELT, "right")))
+                some = drawn[begin:end]
+                ids, sizes = own.ids_of([x["edges"] for *_, x in some])
+                raw, at = memoryview(ids.astype("<u4").tobytes()), np.concatenate([[0], np.cumsum(4 * sizes)]).tolist()
+                sums += [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
+                same += [(x[1:] if x[:1] == b" " else x) == found[doc].encode() for x, (doc, *_) in zip(own.spell(ids, sizes), some)]
+                per.append(sizes)
+                parts.append(ids)
+                begin = end
+            sizes = np.concatenate(per) if per else np.zeros(0, np.int64)
+            columns = [block.column(0).take(pa.array([doc for doc, *_ in drawn], pa.int64())), pa.array([i for _, i, _ in drawn], pa.int32()), pa.array(sizes), pa.array(sums, pa.int64())]
+            columns += [pa.array([x[c] for *_, x in drawn], pa.float64()) for c in ("log_prob", "score", "log_inclusion")] + [pa.array(same, pa.bool_())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))))
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "score", "log_inclusion", "round_trip", "ids"][: len(columns)])
 
         return step
 

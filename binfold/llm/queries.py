@@ -21,7 +21,7 @@ def tokenizer(name: str) -> str:
 def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binfold.llm import lattice
 
-    return lattice.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), k=2, with_ids=False)
+    return lattice.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op2_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

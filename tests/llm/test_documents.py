@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from binfold.llm import jpeg, lattice, mergecount, neardup, packing, resample, sstable, toxicity, wordcache
-from binfold.llm.queries import op8_jpeg_media, tokenizer
+from binfold.llm.queries import op1_gumbel_segmentations, op8_jpeg_media, tokenizer
 from tests.llm.conftest import ROWS
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -112,6 +112,36 @@ def test_words_shared_by_plain_and_odd_texts_keep_their_lattices(monkeypatch):
             assert len(own.known) == len(own.base) == len(own.size)
 
 
+def test_segmentations_of_the_whole_table(spark, table, pieces):
+    """op1's query on the table: distinct segmentations into pieces of the vocabulary that the library decodes to the text, best first, with their plain log-probability."""
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    by = defaultdict(list)
+    for r in op1_gumbel_segmentations(spark, "/root/testdata/sf0.001").collect():
+        by[r["doc_id"]].append(r)
+    assert by.keys() == texts.keys()
+    ordinary = [i for i in range(pieces.get_piece_size()) if not (pieces.is_control(i) or pieces.is_unknown(i) or pieces.is_byte(i) or pieces.is_unused(i))]
+    rank = {i: r for r, i in enumerate(sorted(ordinary, key=lambda i: (-pieces.get_score(i), i)))}
+    spelt = [" " if i not in rank else pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
+    for doc, rows in by.items():
+        rows.sort(key=lambda r: r["sample"])
+        assert [r["sample"] for r in rows] == list(range(1, len(rows) + 1)) and (len(rows) == 3 or len(texts[doc]) < 8)
+        assert len({tuple(r["ids"]) for r in rows}) == len(rows)
+        assert all(a["score"] > b["score"] for a, b in itertools.pairwise(rows))
+        for r in rows:
+            assert r["round_trip"] and pieces.decode(r["ids"]) == texts[doc] and r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == crc(r["ids"])
+            assert all(i in rank or pieces.is_byte(i) for i in r["ids"]) and r["log_inclusion"] <= 0
+            if all(i in rank for i in r["ids"]):
+                assert "".join(spelt[i] for i in r["ids"]) == "▁" + texts[doc].replace(" ", "▁") or not texts[doc]
+        # a segmentation's log-probability less another's is that of their pieces' weights
+        plain = [r for r in rows if all(i in rank for i in r["ids"])]
+        for a, b in itertools.pairwise(plain):
+            weight = lambda r: sum(-0.25 * math.log(rank[i] + 2.7) for i in r["ids"])
+            total = math.log(sum(1 / (i + 2.7) for i in range(len(rank))) + 256 / (len(rank) + 2.7)) * 0.25
+            want = weight(a) - weight(b) - total * (len(a["ids"]) - len(b["ids"]))
+            assert a["log_prob"] - b["log_prob"] == pytest.approx(want, abs=1e-6 * max(1, len(a["ids"])))
+
+
+
 def test_sampling_documents(spark, odd, none, pieces):
     model = tokenizer(PIECES)
     rows = lattice.decode(lattice.encode(odd, model, k=2), model).collect()
