@@ -30,6 +30,7 @@ import heapq
 import math
 import re
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,15 @@ from pyspark.sql import functions as F
 from binfold.llm import common
 from binfold.llm.common import ragged
 from binfold.llm.mergecount import _PRETOKEN, SPACE
+from binfold.llm.wordcache import _Index
 
 CACHE_EDGES = 14_000_000
 #: Pieces that are spelt together.
 SPELT = 200_000
 #: The power that flattens the pieces' law: at 1 hardly any but the best segmentation comes up.
 THETA = 0.25
+#: Edges of a path's head, at first; and the mass beyond which a path has none.
+HEAD, TINY = 128, 1e-40
 _U, _ALL = np.uint64, (1 << 64) - 1
 
 
@@ -100,8 +104,8 @@ class Lattices:
             raise ValueError("the vocabulary's pieces span blanks")
         self.pieces = pieces
         self.longest = max(map(len, pieces))
-        #: Where no piece has a stop behind a small letter, words end before it: fewer distinct ones.
-        self.stops = not any(re.search("[a-z][,.!]", p) for p in pieces)
+        #: Marks that no piece has behind a small letter: words end before them there, so fewer are distinct.
+        self.stops = "".join(m for m in ",.!?;:%*$" if not any(b == m and a.islower() for p in pieces for a, b in zip(p, p[1:])))
         ranked = sorted(ordinary, key=lambda i: (-library.get_score(i), i))
         self.bytes_id = {int(library.id_to_piece(i)[3:5], 16): i for i in range(library.get_piece_size()) if library.is_byte(i)}
         law = [1 / (r + shift) for r in range(len(ranked) + 1)]
@@ -121,8 +125,8 @@ class Lattices:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.grown = {name: _Growing(kind) for name, kind in (("base", np.int64), ("size", np.int64), ("first", np.int64), ("share_of", np.float64), ("prev", np.int32), ("code", np.int32))}
+        self.known = _Index()
+        self.grown = {name: _Growing(kind) for name, kind in (("base", np.int64), ("size", np.int64), ("first", np.int32), ("share_of", np.float64), ("prev", np.int32), ("code", np.int32))}
         self.base, self.size, self.first, self.share_of, self.prev, self.code = (g.add(np.zeros(0, np.int64)) for g in self.grown.values())
         self.n_nodes = 0
 
@@ -172,8 +176,8 @@ class Lattices:
 
     def _edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """All edges of the words: first edge of each node, shares, nodes before, codes; nodes count from 0."""
-        size = np.array([len(w) for w in words], np.int64)
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         word = np.repeat(np.arange(len(words)), size)
         node = np.arange(len(points)) + word  # the node before each character; a word has one node more than characters
         left = np.repeat(np.cumsum(size), size) - np.arange(len(points))
@@ -223,22 +227,20 @@ class Lattices:
 
     def learn(self, words: list[str]) -> np.ndarray:
         """The number of each word."""
-        known = self.known
+        if len(self.share_of) > CACHE_EDGES:
+            self._clear()
         # a word may come twice, from plain texts and from others, but gets one lattice
-        new = list(dict.fromkeys(w for w in words if w not in known))
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        new, self.known.new = self.known.new, []
         if new:
-            if len(self.share_of) > CACHE_EDGES:
-                self._clear()
-                known, new = self.known, list(dict.fromkeys(words))
             node, old = self.n_nodes, len(self.share_of)
-            known.update(zip(new, range(len(self.base), len(self.base) + len(new))))
-            first, share, prev, code, base, size = self._edges([w.replace(" ", SPACE) for w in new])
+            first, share, prev, code, base, size = self._edges(new)
             self.n_nodes += len(first) - 1
             if old:
                 self.grown["first"].n -= 1  # the last node's end is the next one's begin
             for name, more in (("first", first + old), ("share_of", share), ("prev", prev + node), ("code", code), ("base", base + node), ("size", size)):
                 setattr(self, name, self.grown[name].add(more))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return number
 
     def walk(self, base: np.ndarray, at: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Walks each word from node `at` back to its base. Returns the edges taken, word by word from the right, and each word's number of them."""
@@ -251,13 +253,17 @@ class Lattices:
             with np.errstate(over="ignore"):
                 bits = mix(key + _U((step + 1) * 0x9E3779B97F4A7C15 & _ALL))
             u = ((bits >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
-            edge, last = self.first[node], self.first[node + 1] - 1
+            edge = self.first[node]
             u -= self.share_of[edge]
-            more = np.flatnonzero((u > 0) & (edge < last))
-            while len(more):
-                edge[more] += 1
-                u[more] -= self.share_of[edge[more]]
-                more = more[(u[more] > 0) & (edge[more] < last[more])]
+            more = np.flatnonzero(u > 0)
+            if len(more):  # these take a later edge of their nodes
+                e, last, rest = edge[more], self.first[node[more] + 1] - 1, u[more]
+                go = np.flatnonzero(e < last)
+                while len(go):
+                    e[go] += 1
+                    rest[go] -= self.share_of[e[go]]
+                    go = go[(rest[go] > 0) & (e[go] < last[go])]
+                edge[more] = e
             steps.append(edge)
             where.append(live)
             counts[live] += 1
@@ -310,7 +316,8 @@ class _Search:
     def __init__(self, seed: int) -> None:
         self.seed, self.draws = seed, 0
         self.agenda: list[tuple] = []
-        self.paths: list[dict] = []
+        self.paths: list[_Path] = []
+        self.times: list[float] = []
 
     def draw(self) -> float:
         """The next number of the row's own stream."""
@@ -334,16 +341,20 @@ def pretokens(own: Lattices, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     plain = pc.if_else(pa.array(odd), "", column)
     plain = pc.if_else(pc.equal(plain, ""), "", pc.binary_join_element_wise(pa.scalar(""), plain, " "))
     if own.stops:
-        plain = pc.replace_substring_regex(plain, "([a-z])([,.!])", "\\1\1\\2")
+        plain = pc.replace_substring_regex(plain, rf"(\p{{Ll}})([{re.escape(own.stops)}])", "\\1\1\\2")
     lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\1 "), "\n", "\1\n\1"), "\1")
     words = lists.flatten().dictionary_encode()
     names, index = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
     slow = {int(d): _PRETOKEN.findall(" " + texts[d].replace(SPACE, " ")) for d in np.flatnonzero(odd)}
     more = list({w for x in slow.values() for w in x})
-    number = own.learn([w for w in names if w] + more)
-    of = np.full(len(names), -1, np.int64)
-    of[[i for i, w in enumerate(names) if w]] = number[: len(number) - len(more)]
-    known = dict(zip(more, number[len(number) - len(more) :].tolist()))
+    blank = names.index("") if "" in names else None  # what an empty text or one between two marks gives: no word
+    if blank is not None:
+        del names[blank]
+    number = own.learn(names + more)
+    of = number[: len(names)]
+    if blank is not None:
+        of = np.insert(of, blank, -1)
+    known = dict(zip(more, number[len(names) :].tolist()))
     flat = of[index] if len(index) else np.zeros(0, np.int64)
     edges = lists.offsets.to_numpy(zero_copy_only=False) - lists.offsets[0].as_py()
     sizes = np.diff(np.concatenate([[0], np.cumsum(flat >= 0)])[edges])
@@ -359,89 +370,129 @@ def pretokens(own: Lattices, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat[np.repeat(ends - 1, sizes) - (np.arange(len(flat)) - np.repeat(ends - sizes, sizes))], sizes
 
 
+class _Walk(NamedTuple):
+    """The walks of a block's words: edges and their shares, where each word's edges end, and the node each walk began at."""
+
+    edges: np.ndarray
+    share: np.ndarray
+    ends: np.ndarray
+    at: np.ndarray
+
+
+class _Path:
+    """A segmentation: its edges from right to left.
+
+    It has another path's first edges, then an edge that leaves that path, then those of a
+    walk. `share`, `suffix` and `leave` are of its head: further on, less than TINY of the
+    mass is, so that no member of a set of any weight leaves the path there.
+    """
+
+    def __init__(self, walk: _Walk, a: int, b: int, log_prob: float, fork: tuple | None = None) -> None:
+        self.walk, self.a, self.fork, self.log_prob = walk, a, fork, log_prob
+        self.edges, old = walk.edges[a:b], None
+        if fork:
+            before, j, edge, share, *_ = fork
+            self.edges = np.concatenate([before.edges[:j], [edge], self.edges])
+            old = np.concatenate([before.share[:j], [share]])
+        n = HEAD
+        while True:
+            self.share = walk.share[a : min(b, a + n)]
+            if fork:
+                self.share = np.concatenate([old, self.share])
+            mass = np.cumprod(self.share)
+            if a + n >= b or mass[-1] < TINY:
+                break
+            n *= 4
+        #: The mass of all segmentations that go as this one does before each edge.
+        self.suffix = np.ones(len(mass))
+        self.suffix[1:] = mass[:-1]
+        self.leave = self.suffix * (1 - self.share)
+
+    def where(self, own: Lattices, j: int) -> tuple[int, int]:
+        """The node that the j-th edge ends at, and its word in the block."""
+        if self.fork:
+            before, turned, _, _, node, word = self.fork
+            if j < turned:
+                return before.where(own, j)
+            if j == turned:
+                return node, word
+            j -= turned + 1
+        i, ends = self.a + j, self.walk.ends
+        word = int(np.searchsorted(ends, i, "right"))
+        begins = i == (ends[word - 1] if word else 0)
+        return int(self.walk.at[word] if begins else own.prev[self.walk.edges[i - 1]]), word
+
+
 def sample(own: Lattices, keys: list[int], texts: list[str], k: int) -> list[list[dict]]:
     """For each text up to k samples: edges from right to left, log_prob, score, log_inclusion."""
     flat, sizes = pretokens(own, texts)
-    begin = np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
     base, end = own.base[flat], own.base[flat] + own.size[flat]
     place = np.arange(len(flat)) - np.repeat(begin, sizes)
-    seeds = mix(np.array([x & (1 << 64) - 1 for x in keys], np.uint64) + _U(1))
-    rows = [_Search(int(s)) for s in seeds.tolist()]
+    seeds = mix(np.array([x & _ALL for x in keys], np.uint64) + _U(1))
+    rows, spans = [_Search(int(s)) for s in seeds.tolist()], list(zip(begin.tolist(), ends.tolist()))
     for r in rows:
         r.push(0.0, 1.0, (None, 0, {}))
     for turn in range(k):
-        at, prefix = np.where(True, base, base), {}
-        plans = {}
+        at, plans = base.copy(), {}
         for d, r in enumerate(rows):
             if not r.agenda:
                 continue
             time, _, (path, low, gone) = heapq.heappop(r.agenda)
-            a, b = int(begin[d]), int(begin[d] + sizes[d])
+            a, b = spans[d]
             if path is None:
                 at[a:b] = end[a:b]
-                plans[d] = (time, 0, None, None)
+                plans[d] = (time, 0, None)
                 continue
             p = r.paths[path]
             # the node at which the next best member leaves this path, and by which edge
-            mass = p["leave"][low:].copy()
+            mass = p.leave[low:].copy()
             for j, edges in gone.items():
-                mass[j - low] -= p["suffix"][j] * own.share_of[list(edges)].sum()
+                mass[j - low] -= p.suffix[j] * own.share_of[list(edges)].sum()
             run = np.cumsum(np.maximum(mass, 0))
             j = low + min(int(np.searchsorted(run, r.draw() * run[-1], side="right")), len(run) - 1)
-            taken = int(p["edges"][j])
-            node = int(p["nodes"][j])
-            others = [e for e in range(int(own.first[node]), int(own.first[node + 1])) if e != taken and e not in gone.get(j, ())]
+            node, word = p.where(own, j)
+            others = [e for e in range(int(own.first[node]), int(own.first[node + 1])) if e != p.edges[j] and e not in gone.get(j, ())]
             while not others:  # rounding chose a node that has nothing left
                 mass[j - low] = 0
                 if not (mass > 0).any():
                     break
                 j = low + int(np.argmax(mass))
-                taken, node = int(p["edges"][j]), int(p["nodes"][j])
-                others = [e for e in range(int(own.first[node]), int(own.first[node + 1])) if e != taken and e not in gone.get(j, ())]
+                node, word = p.where(own, j)
+                others = [e for e in range(int(own.first[node]), int(own.first[node + 1])) if e != p.edges[j] and e not in gone.get(j, ())]
             if not others:
                 continue
             shares = np.cumsum(own.share_of[others])
             edge = others[min(int(np.searchsorted(shares, r.draw() * shares[-1], side="right")), len(others) - 1)]
+            share = float(own.share_of[edge])
             left = dict(gone)
             left[j] = (*gone.get(j, ()), edge)
-            r.push(time, float(run[-1] - p["suffix"][j] * own.share_of[edge]), (path, low, left))
-            word = a + int(p["words"][j])
+            r.push(time, float(run[-1] - p.suffix[j] * share), (path, low, left))
             at[word] = own.prev[edge]
             at[word + 1 : b] = end[word + 1 : b]
-            plans[d] = (time, j, p, edge)
-            prefix[d] = word
+            plans[d] = (time, math.log(p.suffix[j]) + math.log(share), (p, j, edge, share, node, word))
         edges, counts = own.walk(base, at, np.repeat(seeds, sizes) + _U(turn), place)
-        spot = np.concatenate([[0], np.cumsum(counts)])
-        words = np.repeat(place, counts)
-        for d, (time, j, p, edge) in plans.items():
-            r = rows[d]
-            a, b = int(spot[begin[d]]), int(spot[begin[d] + sizes[d]])
-            mine, of = edges[a:b], words[a:b]
-            low = 0
-            if p is not None:
-                mine = np.concatenate([p["edges"][:j], [edge], mine])
-                of = np.concatenate([p["words"][: j + 1], of])
-                low = j + 1
-            log = np.log(own.share_of[mine])
-            before = np.concatenate([[0.0], np.cumsum(log)])
-            suffix = np.exp(before[:-1])
-            leave = suffix * (1 - own.share_of[mine])
-            # an edge's own node: where the edge before it began, or the end of the next word
-            nodes = np.empty(len(mine), np.int64)
-            if len(mine) and turn + 1 < k:  # the last path is never left
-                new = np.flatnonzero(np.diff(of, prepend=-1))
-                nodes[1:] = own.prev[mine[:-1]]
-                nodes[new] = end[begin[d] + of[new]]
-            r.paths.append({"edges": mine, "words": of, "nodes": nodes, "suffix": suffix, "leave": leave, "log_prob": float(before[-1]), "time": time})
-            r.push(time, float(leave[low:].sum()), (len(r.paths) - 1, low, {}))
+        walk = _Walk(edges, own.share_of[edges], np.cumsum(counts), at)
+        spot = np.concatenate([[0], walk.ends])
+        first, last = spot[begin], spot[ends]
+        sums, some = np.zeros(len(rows)), last > first
+        if some.any():
+            sums[some] = np.add.reduceat(np.log(walk.share), first[some])
+        for d, (time, log, fork) in plans.items():
+            r, low = rows[d], fork[1] + 1 if fork else 0
+            p = _Path(walk, int(first[d]), int(last[d]), log + float(sums[d]), fork)
+            r.paths.append(p)
+            r.times.append(time)
+            r.push(time, float(p.leave[low:].sum()), (len(r.paths) - 1, low, {}))
     out = []
     for r in rows:
         after = r.agenda[0][0] if r.agenda else math.inf
         found = []
-        for p in r.paths:
-            x = p["log_prob"] + math.log(after) if after < math.inf else math.inf
+        for p, time in zip(r.paths, r.times):
+            x = p.log_prob + math.log(after) if after < math.inf else math.inf
             inclusion = 0.0 if x > 4 else (math.log(-math.expm1(-math.exp(x))) if x > -30 else x)
-            found.append({"edges": p["edges"], "log_prob": p["log_prob"], "score": -math.log(p["time"]), "log_inclusion": inclusion})
+            found.append({"edges": p.edges, "log_prob": p.log_prob, "score": -math.log(time), "log_inclusion": inclusion})
         out.append(found)
     return out
 
