@@ -48,6 +48,8 @@ CACHE_EDGES = 14_000_000
 SPELT = 200_000
 #: The power that flattens the pieces' law: at 1 hardly any but the best segmentation comes up.
 THETA = 0.25
+#: Words that are walked together: few enough for the processor's own memory.
+TOGETHER = 1 << 16
 #: Edges of a path's head, at first; and the mass beyond which a path has none.
 HEAD, TINY = 128, 1e-40
 _U, _ALL = np.uint64, (1 << 64) - 1
@@ -55,9 +57,12 @@ _U, _ALL = np.uint64, (1 << 64) - 1
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, the same on every machine."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def uniform_bits(*parts: np.ndarray | int) -> np.ndarray:
@@ -244,15 +249,21 @@ class Lattices:
 
     def walk(self, base: np.ndarray, at: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Walks each word from node `at` back to its base. Returns the edges taken, word by word from the right, and each word's number of them."""
+        parts = [self._walk(*(x[i : i + TOGETHER] for x in (base, at, seed, place))) for i in range(0, len(at), TOGETHER)]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _walk(self, base: np.ndarray, at: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(at), np.int64)
         live = np.flatnonzero(at > base)
         steps, where, step = [], [], 0
-        node, to, key, spot = at[live], base[live], seed[live], place[live]
-        key = uniform_bits(key, spot)
+        node, to, key = at[live], base[live], uniform_bits(seed[live], place[live])
         while len(live):
             with np.errstate(over="ignore"):
                 bits = mix(key + _U((step + 1) * 0x9E3779B97F4A7C15 & _ALL))
-            u = ((bits >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+            bits >>= _U(11)
+            u = bits.astype(np.float64)
+            u += 0.5
+            u *= 2.0**-53
             edge = self.first[node]
             u -= self.share_of[edge]
             more = np.flatnonzero(u > 0)
@@ -268,12 +279,12 @@ class Lattices:
             where.append(live)
             counts[live] += 1
             node = self.prev[edge]
-            go = node > to
-            if not go.all():
+            go = np.flatnonzero(node > to)
+            if len(go) < len(live):
                 live, to, key, node = live[go], to[go], key[go], node[go]
             step += 1
         offset = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), np.int64)
+        out = np.empty(int(counts.sum()), np.int32)
         for t, (edge, words) in enumerate(zip(steps, where)):
             out[offset[words] + t] = edge
         return out, counts
@@ -344,7 +355,7 @@ def pretokens(own: Lattices, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = pc.replace_substring_regex(plain, rf"(\p{{Ll}})([{re.escape(own.stops)}])", "\\1\1\\2")
     lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\1 "), "\n", "\1\n\1"), "\1")
     words = lists.flatten().dictionary_encode()
-    names, index = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    names, index = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(zero_copy_only=False)
     slow = {int(d): _PRETOKEN.findall(" " + texts[d].replace(SPACE, " ")) for d in np.flatnonzero(odd)}
     more = list({w for x in slow.values() for w in x})
     blank = names.index("") if "" in names else None  # what an empty text or one between two marks gives: no word
