@@ -51,7 +51,7 @@ THETA = 0.25
 #: Words that are walked together: few enough for the processor's own memory.
 TOGETHER = 1 << 16
 #: Edges of a path's head, at first; and the mass beyond which a path has none.
-HEAD, TINY = 128, 1e-40
+HEAD, TINY = 64, 1e-40
 _U, _ALL = np.uint64, (1 << 64) - 1
 
 
@@ -410,7 +410,7 @@ class _Path:
             self.share = walk.share[a : min(b, a + n)]
             if fork:
                 self.share = np.concatenate([old, self.share])
-            mass = np.cumprod(self.share)
+            mass = self.share.cumprod()
             if a + n >= b or mass[-1] < TINY:
                 break
             n *= 4
@@ -429,7 +429,7 @@ class _Path:
                 return node, word
             j -= turned + 1
         i, ends = self.a + j, self.walk.ends
-        word = int(np.searchsorted(ends, i, "right"))
+        word = int(ends.searchsorted(i, "right"))
         begins = i == (ends[word - 1] if word else 0)
         return int(self.walk.at[word] if begins else own.prev[self.walk.edges[i - 1]]), word
 
@@ -461,8 +461,8 @@ def sample(own: Lattices, keys: list[int], texts: list[str], k: int) -> list[lis
             mass = p.leave[low:].copy()
             for j, edges in gone.items():
                 mass[j - low] -= p.suffix[j] * own.share_of[list(edges)].sum()
-            run = np.cumsum(np.maximum(mass, 0))
-            j = low + min(int(np.searchsorted(run, r.draw() * run[-1], side="right")), len(run) - 1)
+            run = np.maximum(mass, 0).cumsum()
+            j = low + min(int(run.searchsorted(r.draw() * run[-1], "right")), len(run) - 1)
             node, word = p.where(own, j)
             others = [e for e in range(int(own.first[node]), int(own.first[node + 1])) if e != p.edges[j] and e not in gone.get(j, ())]
             while not others:  # rounding chose a node that has nothing left
@@ -474,8 +474,8 @@ def sample(own: Lattices, keys: list[int], texts: list[str], k: int) -> list[lis
                 others = [e for e in range(int(own.first[node]), int(own.first[node + 1])) if e != p.edges[j] and e not in gone.get(j, ())]
             if not others:
                 continue
-            shares = np.cumsum(own.share_of[others])
-            edge = others[min(int(np.searchsorted(shares, r.draw() * shares[-1], side="right")), len(others) - 1)]
+            shares = own.share_of[others].cumsum()
+            edge = others[min(int(shares.searchsorted(r.draw() * shares[-1], "right")), len(others) - 1)]
             share = float(own.share_of[edge])
             left = dict(gone)
             left[j] = (*gone.get(j, ()), edge)
