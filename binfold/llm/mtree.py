@@ -8,8 +8,9 @@ vectors of a metric space. Scores are exact: products of doubles where no sum ca
 
 Index. Routing vectors are a bounded sample, one for each page's worth of rows (MOST_PIVOTS at
 most, by the smallest hashes); every vector belongs to its nearest one. The rows are sorted by
-routing vector, distance from it, vec_id and row, range by range, and cut into pages: rings
-around a routing vector, however many a vector or identifier has. Each page is an M-tree in
+routing vector, distance from it, a hash of the vector, vec_id and row, range by range, and cut
+into pages: rings around a routing vector, however many a vector or identifier has. The driver
+gets a bounded sample of these keys, which hold no vectors. Each page is an M-tree in
 plain columns: nodes with a routing object, a covering radius and the distance to the parent's
 object, leaves with each row's distance to the leaf's object.
 
@@ -18,8 +19,9 @@ there bounds the answer. Then it goes to those pages alone whose ring can hold a
 good. A page meets queries in blocks: a heap of nodes by their least possible distance to a
 query that still needs them, and the stored distance to the parent and the triangle inequality
 rule out nodes, and rows of a leaf, before any distance to them is computed; what is left of a
-leaf meets what is left of the block in one product. The pages' answers, k for a query at
-most, are merged.
+leaf meets what is left of the block in one product. The pages' leaf meets what is left of the block in one product. The pages' answers, k for a query at
+most, are merged. Pages and blocks always meet by a sort-merge join: a block is one row to
+Spark, whose guess of its size would have it broadcast them all.
 
 Of rows with one and the same vector, those beyond the smallest identifiers can't be answers
 for k below KNOWN_K: pages that hold nothing else are kept in the index but not searched.
@@ -44,8 +46,10 @@ from pyspark.sql import functions as F
 
 from binfold.llm import common
 
-#: Routing vectors at most: they go to every task.
-MOST_PIVOTS = 4096
+#: Routing vectors and their bytes at most: they go to every task.
+MOST_PIVOTS, PIVOT_BYTES = 4096, 8 << 20
+#: Keys that the driver samples for the ranges of the pages: three times as many at most, or three a range.
+SAMPLED = 60_000
 #: Rows and bytes of a page, rows of a leaf, queries of a block at most.
 PAGE, PAGE_BYTES, FAN, BLOCK = 8192, 8 << 20, 128, 512
 #: Up to this k, pages of copies beyond as many identifiers aren't searched.
@@ -240,7 +244,7 @@ def build_index(rows: DataFrame, pivots: int = MOST_PIVOTS, page: int = PAGE) ->
     if not n:
         return None
     page = max(1, min(page, PAGE_BYTES // wide))
-    want = max(1, min(pivots, -(-n // page)))
+    want = max(1, min(pivots, PIVOT_BYTES // wide, -(-n // page)))
     # vectors of one in so many hashes, each once: a common one doesn't fill the sample
     h = F.xxhash64("x")
     some = rows.where(F.pmod(h, F.lit(max(1, n // (8 * want)))) == 0).select("x").distinct().orderBy(h, "x").limit(want).collect()
@@ -260,8 +264,10 @@ def build_index(rows: DataFrame, pivots: int = MOST_PIVOTS, page: int = PAGE) ->
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(near, pa.int32()), pa.array(dist)], names=["vec_id", "x", "row", "pivot", "dist"])
 
     routed = common.written(common.arrow_map(rows.select("vec_id", "x", "row"), route, "vec_id long, x binary, row long, pivot int, dist double"), "mtree-routed")
-    keys = ("pivot", "dist", "x", "vec_id", "row")
-    dealt = routed.repartitionByRange(common.parallelism(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    # the vector's hash for the vector: should two vectors share it, their copies mix, and fewer pages are idle
+    keys = ("pivot", "dist", "h", "vec_id", "row")
+    ranges = common.parallelism(rows.sparkSession)
+    dealt = routed.withColumn("h", F.xxhash64("x")).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
 
     def cut(batches):
         from pyspark import TaskContext
@@ -301,7 +307,13 @@ def build_index(rows: DataFrame, pivots: int = MOST_PIVOTS, page: int = PAGE) ->
         if held:
             yield made()
 
-    pages = common.written(common.arrow_map(dealt.select("vec_id", "x", "row", "pivot", "dist"), cut, PAGES), "mtree-pages")
+    conf, sampled = rows.sparkSession.conf, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    usual = conf.get(sampled)
+    conf.set(sampled, str(max(1, min(int(usual), SAMPLED // ranges))))
+    try:
+        pages = common.written(common.arrow_map(dealt.select("vec_id", "x", "row", "pivot", "dist"), cut, PAGES), "mtree-pages")
+    finally:
+        conf.set(sampled, usual)
     inmost = F.min(F.struct("lo", "first_id", "page")).alias("first")
     rings = {r["pivot"]: (r["first"]["lo"], r["hi"], r["first"]["page"]) for r in pages.groupBy("pivot").agg(inmost, F.max("hi").alias("hi")).collect()}  # a row for each routing vector
     return Index(pages, p, rings, m)
@@ -313,7 +325,8 @@ def _search_pages(index: Index, asked: DataFrame, k: int, block: int) -> DataFra
     dealt = asked.join(per, "page").groupBy("page", F.pmod(F.xxhash64("query"), "blocks").alias("block"))
     blocks = dealt.agg(F.collect_list(F.struct("query", "query_id", "x", "floor")).alias("queries"))
     columns = ["ids", "x", "row_dist", *(c for c, _ in TREE)]
-    work = index.pages.select("page", *columns).join(blocks.select("page", "queries"), "page").select(*columns, "queries")
+    # a page's blocks stream by its one row
+    work = blocks.select("page", "queries").hint("merge").join(index.pages.select("page", *columns), "page").select(*columns, "queries")
     m = index.m
 
     def run(batches):

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from binfold.llm import mtree
+from binfold.llm import common, mtree
 from binfold.llm.queries import op4_mtree_topk
 
 
@@ -102,3 +102,42 @@ def test_one_identifier_repeated_over_many_pages(spark):
     index = mtree.build_index(v, pivots=1, page=8)
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in mtree.search(index, v.where("vec_id = 3")).orderBy("rank").collect()]
     assert got == [(3, i + 1, 10 + i) for i in range(5)]
+
+
+def test_no_vectors_pass_through_the_driver(spark):
+    """Neither the ranges of the pages nor the search send vectors or blocks of queries to the driver: its results hold at 2 MB."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(1500, 512)).tolist())]
+    v = common.written(mtree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vectors")
+    conf, limit = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    usual = conf.get(limit, "1g")
+    conf.set(limit, "2m")
+    try:
+        index = mtree.build_index(v, pivots=8, page=100)
+        found = common.written(mtree.search(index, v.where("vec_id % 20 = 0"), block=16), "found").collect()
+    finally:
+        conf.set(limit, usual)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found}
+    assert got == brute(rows, 20)
+    assert spark.conf.get("spark.sql.execution.rangeExchange.sampleSizePerPartition") == "100"
+
+
+def test_blocks_are_not_broadcast(spark):
+    """A block is one row to Spark, which takes it for a small one; all of them don't fit the driver."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(600, 8)).tolist())]
+    v = common.written(mtree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vectors")
+    found = mtree.search(mtree.build_index(v, pivots=4, page=64), v.where("vec_id % 10 = 0"), block=8)
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()} == brute(rows, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and not any("collect_list" in x for x in plan.split("BroadcastExchange")[1:])
+
+
+def test_routing_vectors_have_a_bound_in_bytes(spark, monkeypatch):
+    rows = [(i, [float(i % 17), float(i)]) for i in range(300)]
+    v = common.written(mtree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vectors")
+    monkeypatch.setattr(mtree, "PIVOT_BYTES", 5 * 16)
+    index = mtree.build_index(v, page=4)
+    assert len(index.pivots) <= 5
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.search(index, v.where("vec_id % 50 = 0")).collect()}
+    assert got == brute(rows, 50)
