@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binfold.functions.bins import bin_info, special_value
+from binfold.functions.bins import special_value, with_bins
 from binfold.functions.codec import bin_table
 from binfold.operators.histogram import AXES, Histogram
 
@@ -31,15 +31,15 @@ def boundaries(hist: Histogram) -> DataFrame:
     """
     if not hist.config.queryable:
         raise ValueError(f"{hist.config.name} can be built and merged, but its bins have no values")
-    rows, axes = hist.df, AXES[: hist.config.dims]
+    axes = AXES[: hist.config.dims]
+    names = {a: ("kind", "code") if len(axes) == 1 else (f"kind_{a}", f"code_{a}") for a in axes}
+    rows = with_bins(hist.df, {f"_{a}": code for a, (_, code) in names.items()}, hist.config.bits, ["pos", "lower", "upper"])
     out = [*hist.by]
-    for a in axes:
-        kind, code = ("kind", "code") if len(axes) == 1 else (f"kind_{a}", f"code_{a}")
-        rows = rows.withColumn(f"_{a}", bin_info(F.col(code), hist.config.bits))
+    for a, (kind, _) in names.items():
         special = special_value(F.col(kind))
-        out += [F.coalesce(special, F.col(f"_{a}.lower")).alias(f"{a}_min"), F.coalesce(special, F.col(f"_{a}.upper")).alias(f"{a}_max")]
+        out += [F.coalesce(special, F.col(f"_{a}_lower")).alias(f"{a}_min"), F.coalesce(special, F.col(f"_{a}_upper")).alias(f"{a}_max")]
     if hist.config.dims == 1:
-        rows = rows.where("_x.pos IS NOT NULL")
+        rows = rows.where("_x_pos IS NOT NULL")
     return rows.select(*out, F.col("count").alias("counts"))
 
 
@@ -148,10 +148,8 @@ def _check_nd(hist: Histogram, dims: tuple[int, ...]) -> None:
 def extents(hist: Histogram) -> list[tuple[float, float] | None]:
     """Each axis's least and largest representative value, zero included, infinities not; None if there is none."""
     axes, out = AXES[: hist.config.dims], []
-    rows = hist.df.where("count > 0")
-    for a in axes:
-        rows = rows.withColumn(f"_{a}", F.when(F.col(f"kind_{a}") == "zero", 0.0).otherwise(bin_info(F.col(f"code_{a}"), BITS)["value"]))
-    got = rows.agg(*(f(f"_{a}").alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    rows = with_bins(hist.df.where("count > 0"), {f"_{a}": f"code_{a}" for a in axes}, BITS, ["value"])
+    got = rows.withColumns({f"_{a}": F.when(F.col(f"kind_{a}") == "zero", 0.0).otherwise(F.col(f"_{a}_value")) for a in axes}).agg(*(f(f"_{a}").alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max)))).first()
     for a in axes:
         out.append(None if got[f"lo_{a}"] is None else (got[f"lo_{a}"], got[f"hi_{a}"]))
     return out
@@ -234,10 +232,8 @@ def count_boxes(hist: Histogram, boxes: Sequence[Sequence[tuple[float, float]]]
     shifts = [max(LEAST_BUCKET, math.ceil(math.log2(max(mean or 1, (most or 1) / MOST_BUCKETS, 1)))) for mean, most in zip(got[::2], got[1::2])]
     buckets = [f"_b{n}" for n in names]
     # records with a special axis have no position there, and so meet no box
-    cells = hist.df.where("count > 0")
-    for n in names:
-        cells = cells.withColumn(f"_{n}", bin_info(F.col(f"code_{n}"), BITS)["pos"])
-    cells = cells.select(*hist.by, *(F.col(f"_{n}").alias(f"{n}_pos") for n in names), "count").withColumns({b: F.shiftright(f"{n}_pos", s) for b, n, s in zip(buckets, names, shifts)})
+    cells = with_bins(hist.df.where("count > 0"), {f"_{n}": f"code_{n}" for n in names}, BITS, ["pos"])
+    cells = cells.select(*hist.by, *(F.col(f"_{n}_pos").alias(f"{n}_pos") for n in names), "count").withColumns({b: F.shiftright(f"{n}_pos", s) for b, n, s in zip(buckets, names, shifts)})
 
     def inside(regions: DataFrame, on: Sequence[str]) -> DataFrame:
         cut = regions.where(" AND ".join(f"{n}_a <= {n}_b" for n in names))

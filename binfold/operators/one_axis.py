@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binfold.functions.bins import bin_info, order_key, special_value
+from binfold.functions.bins import order_key, special_value, with_bins
 from binfold.operators.histogram import Histogram
 
 _NINF, _PINF = float("-inf"), float("inf")
@@ -25,10 +25,10 @@ def ordered(hist: Histogram) -> DataFrame:
     if hist.config.dims != 1:
         raise ValueError(f"{hist.config.name} has several axes")
     bits = hist.config.bits
-    info = hist.df.where("count > 0").withColumn("_i", bin_info(F.col("code"), bits))
+    info = with_bins(hist.df.where("count > 0"), {"_i": "code"}, bits)
     own = special_value(F.col("kind"))
-    fields = [F.coalesce(own, F.col(f"_i.{f}")).alias(f) for f in ("value", "next", "lower", "upper")]
-    return info.select(*hist.by, "kind", "code", "count", order_key(F.col("kind"), F.col("_i.pos"), bits).alias("ord"), F.col("_i.pos").alias("pos"), *fields).where("ord IS NOT NULL")
+    fields = [F.coalesce(own, F.col(f"_i_{f}")).alias(f) for f in ("value", "next", "lower", "upper")]
+    return info.select(*hist.by, "kind", "code", "count", order_key(F.col("kind"), F.col("_i_pos"), bits).alias("ord"), F.col("_i_pos").alias("pos"), *fields).where("ord IS NOT NULL")
 
 
 def _running(hist: Histogram) -> DataFrame:
